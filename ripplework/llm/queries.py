@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP8_SQL, op8_line_dedup
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 ORACLE = {
     "op3_quality_rules": OP3_SQL,
+    "op8_line_dedup": OP8_SQL,
 }
