@@ -85,13 +85,13 @@ def split_batches(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHU
         yield batch.slice(start)
 
 
-def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], text: str = "text") -> DataFrame:
+def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """Run make()'s function over byte-bounded slices of df. make runs once in each task, so it can hold caches."""
     arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for piece in split_batches(batches, text):
+        for piece in split_batches(batches, text, limit):
             out = work(piece)
             for one in [out] if isinstance(out, (pa.RecordBatch, dict)) else out:
                 yield pa.RecordBatch.from_pydict(one, schema=arrow) if isinstance(one, dict) else one
