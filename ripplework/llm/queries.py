@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .bpe import op5_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
+from .packing import op9_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_bpe": op5_bpe,
     "op8_line_dedup": op8_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 ORACLE = {
