@@ -21,7 +21,6 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -31,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 
 from .common import input_tasks, map_chunks, rows_of, text_of
@@ -140,18 +140,30 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, split))
 
 
-def _pack(items: list[bytes]) -> bytes:
-    return zlib.compress(np.array([len(items), *map(len, items)], "<u4").tobytes() + b"".join(items), 1)
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, one plane of bytes after another, compressed: the upper planes nearly vanish."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(raw: bytes) -> list[bytes]:
-    raw = zlib.decompress(raw)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
-    body = raw[4 + 4 * n :]
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _pack(items: list[bytes]) -> tuple[bytes, bytes]:
+    return _squeeze(np.fromiter(map(len, items), "<u4", len(items))), zstandard.ZstdCompressor(level=3).compress(b"".join(items))
+
+
+def _cut(body: bytes | np.ndarray, sizes: np.ndarray) -> list:
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
     return [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _unpack(sizes: bytes, body: bytes) -> list[bytes]:
+    return _cut(zstandard.ZstdDecompressor().decompress(body), _unsqueeze(sizes))
+
+
 def _number(words: Words, texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
     """The distinct words of the texts in order of first use, and each text as numbers of words."""
     numbers: defaultdict[str, int] = defaultdict(count().__next__)
@@ -183,7 +195,9 @@ def _blocks(vocabulary: str, n_buckets: int):
                 at, own = dealt.setdefault(xxhash.xxh3_64_intdigest(w) % n_buckets, ([], []))
                 at.append(i)
                 own.append(w)
-            return {"bucket": list(dealt), "block": [block] * len(dealt), "at": [np.array(a, "<u4").tobytes() for a, _ in dealt.values()], "words": [_pack(w) for _, w in dealt.values()]}
+            if not dealt:
+                return {k: [] for k in ("bucket", "block", "at", "sizes", "words")}
+            return {"bucket": list(dealt), "block": [block] * len(dealt), "at": [_squeeze(np.array(a)) for a, _ in dealt.values()]} | dict(zip(("sizes", "words"), zip(*(_pack(w) for _, w in dealt.values()), strict=True), strict=True))
 
         return work
 
@@ -193,7 +207,7 @@ def _blocks(vocabulary: str, n_buckets: int):
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             block, _, coded = numbered(batch, words)
             sizes = [len(c) for c in coded]
-            yield {"block": [block], "doc_ids": [batch.column("doc_id").to_pylist()], "sizes": [sizes], "numbers": [zlib.compress(np.concatenate(coded).tobytes(), 1)]}
+            yield {"block": [block], "doc_ids": [batch.column("doc_id").to_pylist()], "sizes": [sizes], "numbers": [_squeeze(np.concatenate(coded))]}
 
         return work
 
@@ -201,24 +215,26 @@ def _blocks(vocabulary: str, n_buckets: int):
 
 
 def word_table(documents: DataFrame, vocabulary: str = VOCABULARY, n_buckets: int | None = None) -> DataFrame:
-    """(bucket, block, at, ids): each block's distinct words with their ids; a word is encoded once in all."""
+    """(bucket, block, at, sizes, ids): each block's distinct words with their ids; a word is encoded once in all."""
     n = n_buckets or 2 * input_tasks(documents)
     side = _blocks(vocabulary, n)[0]
-    dealt = map_chunks(documents, "bucket int, block binary, at binary, words binary", side, limit=BLOCK_BYTES)
+    dealt = map_chunks(documents, "bucket int, block binary, at binary, sizes binary, words binary", side, limit=BLOCK_BYTES)
 
     def encode(part: pd.DataFrame) -> pd.DataFrame:
         words = Words(vocabulary)
         part = part.drop_duplicates(["block"])  # blocks of one name hold the same words
-        unpacked = [_unpack(x) for x in part["words"]]
+        unpacked = [_unpack(n, x) for n, x in zip(part["sizes"], part["words"], strict=True)]
         distinct = list({w for own in unpacked for w in own})
-        table: dict[bytes, bytes] = {}
+        table: dict[bytes, list[int]] = {}
         for i in range(0, len(distinct), 20_000):
             some = distinct[i : i + 20_000]
             for w, ids in zip(some, words.encode([w.decode("utf-8", "surrogatepass") for w in some]), strict=True):
-                table[w] = np.array(ids, "<u4").tobytes()
-        return part[["bucket", "block", "at"]].assign(ids=[_pack([table[w] for w in own]) for own in unpacked])
+                table[w] = ids
+        sizes = [_squeeze(np.array([len(table[w]) for w in own])) for own in unpacked]
+        ids = [_squeeze(np.array([i for w in own for i in table[w]])) for own in unpacked]
+        return part[["bucket", "block", "at"]].assign(sizes=sizes, ids=ids)
 
-    return dealt.groupBy("bucket").applyInPandas(encode, "bucket int, block binary, at binary, ids binary")
+    return dealt.groupBy("bucket").applyInPandas(encode, "bucket int, block binary, at binary, sizes binary, ids binary")
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -233,10 +249,10 @@ def encode_decode(documents: DataFrame, vocabulary: str = VOCABULARY, schema: st
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         pieces = np.array(Words(vocabulary).pieces(), object)
-        found: dict[int, bytes] = {}
-        for at, ids in zip(right["at"], right["ids"], strict=True):
-            found.update(zip(np.frombuffer(at, "<u4").tolist(), _unpack(ids), strict=True))
-        of_word = [np.frombuffer(found[i], "<u4") for i in range(len(found))]
+        found: dict[int, np.ndarray] = {}
+        for at, n, ids in zip(right["at"], right["sizes"], right["ids"], strict=True):
+            found.update(zip(_unsqueeze(at).tolist(), _cut(_unsqueeze(ids), _unsqueeze(n)), strict=True))
+        of_word = [found[i] for i in range(len(found))]
         shown = [",".join(map(str, ids.tolist())).encode() for ids in of_word]
         n_ids = np.array([len(ids) for ids in of_word], np.int64)
         ends = np.cumsum(n_ids).tolist()
@@ -244,7 +260,7 @@ def encode_decode(documents: DataFrame, vocabulary: str = VOCABULARY, schema: st
         back = [b"".join(joined[e - c : e]) for e, c in zip(ends, n_ids.tolist(), strict=True)]
         out: dict[str, list] = {k: [] for k in ("doc_id", *sorted(names - {"doc_id"}))}
         for doc_ids, sizes, raw in zip(left["doc_ids"], left["sizes"], left["numbers"], strict=True):
-            numbers, start = np.frombuffer(zlib.decompress(raw), "<u4"), 0
+            numbers, start = _unsqueeze(raw), 0
             for doc_id, size in zip(doc_ids, sizes, strict=True):
                 own = numbers[start : start + size]
                 start += size
