@@ -7,8 +7,9 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their shingle se
    bounded by the documents' mean size) by frequency, all others by hash. Any order gives right results.
 3. Linked sets share at least `spare(n)` of their first `prefix(n)` shingles. Prefixes are dealt by shingle, and a set goes
    on only if enough of its prefix stands in other sets as well. Most sets end here.
-4. Each set that goes on has a home, the least set it shares a prefix shingle with. A set is held against the homes of
-   all sets that share a prefix shingle with it, which covers every possible link without writing down pairs.
+4. Each set that goes on has a home, the least set it shares a prefix shingle with. A set is a guest at the homes whose
+   sets share enough of its prefix with it in all, and have a fitting length, which covers every possible link without
+   writing down pairs.
 5. In each home, the sets are stored in a prefix tree in the global order, frequent shingles first, so that copies share
    long paths. A query goes down all branches at once, carries the overlap so far along shared paths, and leaves a subtree
    when its bounds on what may still match, on either side, can't reach the overlap that its sets' lengths ask for.
@@ -41,6 +42,8 @@ FREQUENT_ONE_IN = 500
 #: Stored sets, and queries, of one cell of a home.
 CELL = 1000
 BLOCK_BYTES = 8 << 20
+#: Buckets of shingles at least. A set has a row in each bucket that its prefix meets, so few buckets would make rows grow with their number.
+MIN_BUCKETS = 64
 #: Survivors up to this number are sent to all tasks (16 bytes each); beyond it, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 _ID = "<i8"
@@ -179,9 +182,13 @@ def _survivors(docs: DataFrame, frequent, n_buckets: int) -> DataFrame:
 
     counted = map_chunks(docs, _DEALT, make, limit=BLOCK_BYTES).groupBy("bucket").applyInPandas(shared, "id long, n long, c long")
     total = counted.groupBy("id").agg(F.first("n").alias("n"), F.sum("c").alias("c"))
-    partner = F.floor((F.col("n") * PERCENT + 99) / 100)  # the least size of a linked set
-    least = F.greatest(F.lit(1), F.floor((partner * SPARE_PERCENT + 99) / 100))
-    return total.where(F.col("c") >= least).select("id", "n")
+    return total.where(F.col("c") >= _least_shared("n")).select("id", "n")
+
+
+def _least_shared(n: str):
+    """How many prefix shingles a set of n shares at least with any set it is linked with: spare() of the least such set."""
+    partner = F.floor((F.col(n) * PERCENT + 99) / 100)
+    return F.greatest(F.lit(1), F.floor((partner * SPARE_PERCENT + 99) / 100))
 
 
 class PrefixTree:
@@ -338,7 +345,7 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     """Per row of documents: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
     tasks = input_tasks(docs)
-    n_buckets = max(4, tasks // 2)
+    n_buckets = max(MIN_BUCKETS, 2 * tasks)
     rows = materialize(digests(docs), "shingle-digests")
     frequent = _frequent(rows)
     own = rows.where("key IS NOT NULL").select("doc_id", "key", "id", "n")
@@ -381,24 +388,27 @@ def shingle_components(documents: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": ids[new], "home": first[new]})
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:
-        run, ids, _, home = _lists(part)
+        run, ids, sizes, home = _lists(part)
+        if not len(run):
+            return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("id", "n", "to", "c")})
         order = np.lexsort((home, run))
-        r, h = run[order], home[order]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-        r, h = r[new], h[new]
+        r, h, s = run[order], home[order], sizes[order]
+        first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])]))
+        r, h, low, high = r[first], h[first], np.minimum.reduceat(s, first), np.maximum.reduceat(s, first)
         begin, end = np.searchsorted(r, run), np.searchsorted(r, run, "right")
         size = end - begin
         total = np.cumsum(size)
-        to = h[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - total + size, size)]
-        who, own_home = np.repeat(ids, size), np.repeat(home, size)
-        lower = to < own_home
-        return pd.DataFrame({"id": who[lower], "to": to[lower]}).drop_duplicates()
+        at = np.arange(int(total[-1])) + np.repeat(begin - total + size, size)
+        who = np.repeat(np.arange(len(ids)), size)
+        fits = (h[at] < home[who]) & (100 * high[at].astype(np.int64) >= PERCENT * sizes[who].astype(np.int64)) & (100 * sizes[who].astype(np.int64) >= PERCENT * low[at].astype(np.int64))
+        made = pd.DataFrame({"id": ids[who[fits]], "n": sizes[who[fits]].astype(np.int64), "to": h[at[fits]]})
+        return made.groupby(["id", "n", "to"], as_index=False).size().rename(columns={"size": "c"})
 
     small = held.select("id", "n", "tokens")
     homes = small.mapInArrow(heads, _DEALT).groupBy("bucket").applyInPandas(least, "id long, home long").groupBy("id").agg(F.min("home").alias("home"))
     homed = materialize(held.join(homes, "id"), "shingle-homes")
-    guests = homed.select("id", "n", "tokens", "home").mapInArrow(heads, _DEALT).groupBy("bucket").applyInPandas(meet, "id long, to long").distinct()
+    guests = homed.select("id", "n", "tokens", "home").mapInArrow(heads, _DEALT).groupBy("bucket").applyInPandas(meet, "id long, n long, to long, c long")
+    guests = guests.groupBy("id", "to").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _least_shared("n")).select("id", "to")
     members = homed.withColumn("to", F.col("home")).unionByName(homed.join(guests, "id"))
     found = materialize(_cells(members, max(4, tasks, n_alive // CELL)), "shingle-links")
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))

@@ -44,10 +44,10 @@ def shingle_sets(texts: list[str | None], width: int = WORDS) -> list[np.ndarray
         if size >= width:
             out.append(np.unique(grams[end - size : end - width + 1]))
         elif size:
-            whole = np.uint64(size)
-            for x in flat[end - size : end]:
-                whole = mix(np.array([whole + x]))[0]
-            out.append(np.array([mix(np.array([whole ^ _M2]))[0]], np.uint64))
+            whole = np.array([size], np.uint64)
+            for at in range(end - size, end):
+                whole = mix(whole + flat[at : at + 1])
+            out.append(mix(whole ^ _M2))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
