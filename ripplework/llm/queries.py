@@ -6,11 +6,13 @@ from .bpe import op5_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op9_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
+from .repeats import op6_suffix_dedup
 from .shingle_join import op10_ngram_jaccard
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_bpe": op5_bpe,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
