@@ -8,9 +8,11 @@ from .packing import op9_packing
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .repeats import op6_suffix_dedup
 from .shingle_join import op10_ngram_jaccard
+from .spotsigs import op4_spotsigs
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_spotsigs": op4_spotsigs,
     "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op8_line_dedup": op8_line_dedup,

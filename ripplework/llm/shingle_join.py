@@ -66,12 +66,12 @@ def _set_id(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, sets_of=shingle_sets) -> DataFrame:
     """Rows of two kinds: a document's (doc_id, key, id, n), and (token, n) for shingles that are frequent in a block."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            sets = shingle_sets(batch.column("text").to_pylist())
+            sets = sets_of(batch.column("text").to_pylist())
             found = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             tokens, counts = np.unique(found, return_counts=True)
             often = counts >= max(3, len(sets) * 2 // FREQUENT_ONE_IN)
@@ -157,7 +157,7 @@ def _lists(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
     return np.cumsum(start) - 1, ids, sizes, extra
 
 
-def _survivors(docs: DataFrame, frequent, n_buckets: int) -> DataFrame:
+def _survivors(docs: DataFrame, frequent, n_buckets: int, sets_of=shingle_sets) -> DataFrame:
     """(id, n) of the sets with enough shared prefix shingles to be linked with anything."""
 
     def make():
@@ -165,7 +165,7 @@ def _survivors(docs: DataFrame, frequent, n_buckets: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> dict:
             ids, sizes, heads = [], [], []
-            for tokens in shingle_sets(batch.column("text").to_pylist()):
+            for tokens in sets_of(batch.column("text").to_pylist()):
                 if len(tokens) and (own := _set_id(set_key(tokens))) not in seen:
                     seen.add(own)
                     ids.append(own)
@@ -341,16 +341,16 @@ def _cells(members: DataFrame, n_groups: int) -> DataFrame:
     return spread.groupBy("part").applyInPandas(work, "id long, root long, links long")
 
 
-def shingle_components(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with)."""
+def shingle_components(documents: DataFrame, sets_of=shingle_sets) -> DataFrame:
+    """Per row of documents, by sets_of() of its text: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
     tasks = input_tasks(docs)
     n_buckets = max(MIN_BUCKETS, 2 * tasks)
-    rows = materialize(digests(docs), "shingle-digests")
+    rows = materialize(digests(docs, sets_of), "shingle-digests")
     frequent = _frequent(rows)
     own = rows.where("key IS NOT NULL").select("doc_id", "key", "id", "n")
     sets = own.where("n > 0").groupBy("key", "id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
-    alive = materialize(_survivors(docs, frequent, n_buckets).join(sets.select("id", "first_doc", "copies"), "id"), "shingle-survivors")
+    alive = materialize(_survivors(docs, frequent, n_buckets, sets_of).join(sets.select("id", "first_doc", "copies"), "id"), "shingle-survivors")
     n_alive = alive.count()
     wanted = alive.select(F.col("first_doc"), "id", "copies")
     if n_alive <= BROADCAST_ROWS:
@@ -360,7 +360,7 @@ def shingle_components(documents: DataFrame) -> DataFrame:
     def keep():
         def work(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {"id": [], "copies": [], "n": [], "tokens": []}
-            for own_id, copies, tokens in zip(batch.column("id").to_pylist(), batch.column("copies").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
+            for own_id, copies, tokens in zip(batch.column("id").to_pylist(), batch.column("copies").to_pylist(), sets_of(batch.column("text").to_pylist()), strict=True):
                 if len(tokens) and _set_id(set_key(tokens)) == own_id:
                     for to, x in zip(out.values(), (own_id, copies, len(tokens), _ordered(tokens, frequent).tobytes()), strict=True):
                         to.append(x)
