@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe
 from .line_dedup import OP8_SQL, op8_line_dedup
 from .packing import op9_packing
+from .pii import op7_pii
 from .quality_rules import OP3_SQL, op3_quality_rules
 from .repeats import op6_suffix_dedup
 from .shingle_join import op10_ngram_jaccard
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_spotsigs": op4_spotsigs,
     "op5_bpe": op5_bpe,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_pii": op7_pii,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
