@@ -85,6 +85,12 @@ def split_batches(batches: Iterable[pa.RecordBatch], text: str, limit: int = CHU
         yield batch.slice(start)
 
 
+def fields_of(df: DataFrame, columns: Iterable[str]) -> str:
+    """Schema text of some columns of df, each with a comma before it; for operators that carry columns along."""
+    kinds = dict(df.dtypes)
+    return "".join(f", `{c}` {kinds[c]}" for c in columns)
+
+
 def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """Run make()'s function over byte-bounded slices of df. make runs once in each task, so it can hold caches."""
     arrow = _arrow_schema(schema)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_chunks, materialize, rows_of, text_of
+from .common import fields_of, map_chunks, materialize, rows_of, text_of
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -187,8 +187,8 @@ def _suspects(documents: DataFrame, limits: DataFrame, n_limits: int) -> DataFra
     return lines.select("key", "doc_id", _shard(n_shards)).mapInArrow(probe, "key binary, doc_id long")
 
 
-def clean(documents: DataFrame, drops: DataFrame) -> DataFrame:
-    """documents (doc_id, text) without the lines in drops (doc_id, drop: keys), with line counts."""
+def clean(documents: DataFrame, drops: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """documents (doc_id, text, and what they carry) without the lines in drops (doc_id, drop: keys), with line counts."""
     joined = documents.join(drops, documents["doc_id"].eqNullSafe(drops["drop_id"]), "left").drop("drop_id")
 
     def make():
@@ -205,21 +205,22 @@ def clean(documents: DataFrame, drops: DataFrame) -> DataFrame:
                 out["n_dropped"].append(len(lines) - len(stays))
                 out["kept_sha256"].append(hashlib.sha256(raw).hexdigest())
                 out["kept_text"].append(raw.decode("utf-8", "surrogatepass"))
-            return {"doc_id": batch.column("doc_id")} | out
+            return {"doc_id": batch.column("doc_id")} | out | {c: batch.column(c) for c in carry}
 
         return work
 
-    return map_chunks(joined, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string", make)
+    return map_chunks(joined, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string" + fields_of(joined, carry), make)
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
-    """Each row's text without the lines that other documents keep: doc_id, n_lines, n_dropped, kept_sha256, kept_text."""
-    docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
+def dedup_lines(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's text without the lines that other documents keep: doc_id, n_lines, n_dropped, kept_sha256, kept_text, and columns to carry along."""
+    full = rows_of(documents, "doc_id", "text", *carry).withColumn("text", text_of())
+    docs = full.select("doc_id", "text")
     counts = reference_counts(line_keys(docs), unique=False)
     limits = materialize(droppable(counts), "line-limits")
     suspects = _suspects(docs, limits, limits.count())
     drops = suspects.join(limits, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc"))).groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop"))
-    return clean(docs, drops)
+    return clean(full, drops, carry)
 
 
 class LineIndex:

@@ -139,18 +139,18 @@ def score_patterns(found: DataFrame) -> DataFrame:
     return patterns
 
 
-def find_pii(documents: DataFrame) -> DataFrame:
-    """Per row: doc_id, text, base and spans (all of them) as arrays of (kind, start, end, rank)."""
-    docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
-    docs = base_spans(docs.withColumn("key", F.xxhash64("doc_id", "text")))
-    found = materialize(candidates(docs).distinct(), "pii-candidates")
+def find_pii(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, text, base and spans (all of them) as arrays of (kind, start, end, rank), and columns to carry along."""
+    docs = rows_of(documents, "doc_id", "text", *carry).withColumn("text", text_of())
+    docs = base_spans(docs.withColumn("_key", F.xxhash64("doc_id", "text")))
+    found = materialize(candidates(docs.withColumnRenamed("_key", "key")).distinct(), "pii-candidates")
     trusted = score_patterns(found).where((F.col("n_values") >= MIN_VALUES) & (F.col("score") >= MIN_SCORE)).select("pattern")
     added = found.where("NOT in_base").join(trusted, "pattern", "left_semi")
     span = F.struct(F.lit("id").alias("kind"), F.col("start"), F.col("end"), F.lit(len(KINDS)).alias("rank"))
     more = added.groupBy(F.col("key").alias("a_key")).agg(F.collect_set(span).alias("more"))
-    joined = docs.join(more, docs["key"] == more["a_key"], "left")
+    joined = docs.join(more, docs["_key"] == more["a_key"], "left")
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(_by_place(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))))
-    return joined.select("doc_id", "text", "key", "base", spans.alias("spans"))
+    return joined.select("doc_id", "text", "base", spans.alias("spans"), *carry)
 
 
 def _listed(spans: str) -> Column:

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_chunks, rows_of, text_of
+from .common import fields_of, map_chunks, rows_of, text_of
 
 SPACES = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -90,7 +90,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
     return any(p in low for p in BOILERPLATE)
 
 
-def _judge():
+def _judge(carry: tuple[str, ...] = ()):
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lost_words", "n_failed_lines", "cleaned")}
@@ -128,14 +128,15 @@ def _judge():
         repeats = repeated_words(np.array(codes, np.int64), doc, len(n))
         failed_base = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
         kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n)
-        return out | {"doc_id": batch.column("doc_id"), "n_repeat_words": repeats, "base_failed": failed_base, "kept": kept}
+        return out | {"doc_id": batch.column("doc_id"), "n_repeat_words": repeats, "base_failed": failed_base, "kept": kept} | {c: batch.column(c) for c in carry}
 
     return work
 
 
-def judge_documents(documents: DataFrame) -> DataFrame:
-    """One row per document: the base counts, both verdicts, and the text without its failed lines (`cleaned`)."""
-    return map_chunks(rows_of(documents, "doc_id", "text").withColumns({"text": text_of()}), SCHEMA, _judge)
+def judge_documents(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the base counts, both verdicts, the text without its failed lines (`cleaned`), and columns to carry along."""
+    docs = rows_of(documents, *dict.fromkeys(("doc_id", "text", *carry)))
+    return map_chunks(docs if "text" in carry else docs.withColumn("text", text_of()), SCHEMA + fields_of(docs, carry), lambda: _judge(carry))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

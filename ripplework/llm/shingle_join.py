@@ -82,11 +82,12 @@ def digests(docs: DataFrame, sets_of=shingle_sets) -> DataFrame:
                 "id": [_set_id(set_key(s)) if len(s) else None for s in sets] + [None] * len(tokens),
                 "n": [len(s) for s in sets] + counts,
                 "token": [None] * len(sets) + tokens,
+                "text_hash": batch.column("text_hash").to_pylist() + [None] * len(tokens),
             }
 
         return work
 
-    return map_chunks(docs, "doc_id long, key binary, id long, n long, token long", make, limit=BLOCK_BYTES)
+    return map_chunks(docs, "doc_id long, key binary, id long, n long, token long, text_hash long", make, limit=BLOCK_BYTES)
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -342,13 +343,13 @@ def _cells(members: DataFrame, n_groups: int) -> DataFrame:
 
 
 def shingle_components(documents: DataFrame, sets_of=shingle_sets) -> DataFrame:
-    """Per row of documents, by sets_of() of its text: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with)."""
+    """Per row of documents, by sets_of() of its text: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with), text_hash (xxhash64 of the text)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
     tasks = input_tasks(docs)
     n_buckets = max(MIN_BUCKETS, 2 * tasks)
-    rows = materialize(digests(docs, sets_of), "shingle-digests")
+    rows = materialize(digests(docs.withColumn("text_hash", F.xxhash64("text")), sets_of), "shingle-digests")
     frequent = _frequent(rows)
-    own = rows.where("key IS NOT NULL").select("doc_id", "key", "id", "n")
+    own = rows.where("key IS NOT NULL").select("doc_id", "key", "id", "n", "text_hash")
     sets = own.where("n > 0").groupBy("key", "id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
     alive = materialize(_survivors(docs, frequent, n_buckets, sets_of).join(sets.select("id", "first_doc", "copies"), "id"), "shingle-survivors")
     n_alive = alive.count()
@@ -418,8 +419,8 @@ def shingle_components(documents: DataFrame, sets_of=shingle_sets) -> DataFrame:
     least_doc = per_set.groupBy("c").agg(F.min("first_doc").alias("component_id"))
     final = per_set.join(least_doc, "c").select("key", "component_id", (F.col("links") + F.col("copies") - 1).alias("n_links"))
     joined = own.join(final, "key", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return shingle_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shingle_components(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
