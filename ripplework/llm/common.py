@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -91,6 +93,13 @@ def fields_of(df: DataFrame, columns: Iterable[str]) -> str:
     return "".join(f", `{c}` {kinds[c]}" for c in columns)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and would hold their peaks beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
     """Run make()'s function over byte-bounded slices of df. make runs once in each task, so it can hold caches."""
     arrow = _arrow_schema(schema)
@@ -101,6 +110,8 @@ def map_chunks(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Recor
             out = work(piece)
             for one in [out] if isinstance(out, (pa.RecordBatch, dict)) else out:
                 yield pa.RecordBatch.from_pydict(one, schema=arrow) if isinstance(one, dict) else one
+        del work
+        give_back()
 
     return df.mapInArrow(run, schema)
 

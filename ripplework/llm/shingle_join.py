@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_tasks, map_chunks, materialize, rows_of, text_of
+from .common import give_back, input_tasks, map_chunks, materialize, rows_of, text_of
 from .components import components
 from .shingles import shingle_sets
 
@@ -41,7 +41,7 @@ SPARE_PERCENT = 15
 FREQUENT_ONE_IN = 500
 #: Stored sets, and queries, of one cell of a home.
 CELL = 1000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 #: Buckets of shingles at least. A set has a row in each bucket that its prefix meets, so few buckets would make rows grow with their number.
 MIN_BUCKETS = 64
 #: Survivors up to this number are sent to all tasks (16 bytes each); beyond it, texts are shuffled to them.
@@ -179,7 +179,10 @@ def _survivors(docs: DataFrame, frequent, n_buckets: int, sets_of=shingle_sets)
     def shared(part: pd.DataFrame) -> pd.DataFrame:
         _, ids, sizes, _ = _lists(part)
         own, first, counts = np.unique(ids, return_index=True, return_counts=True)
-        return pd.DataFrame({"id": own, "n": sizes[first].astype(np.int64), "c": counts.astype(np.int64)})
+        out = pd.DataFrame({"id": own, "n": sizes[first].astype(np.int64), "c": counts.astype(np.int64)})
+        del part, ids, sizes
+        give_back()
+        return out
 
     counted = map_chunks(docs, _DEALT, make, limit=BLOCK_BYTES).groupBy("bucket").applyInPandas(shared, "id long, n long, c long")
     total = counted.groupBy("id").agg(F.first("n").alias("n"), F.sum("c").alias("c"))
