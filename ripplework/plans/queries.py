@@ -11,7 +11,7 @@ from ..streaming.changes import diff, fold
 from ..streaming.runtime import debounced
 from .view import Cell, Link, View
 
-VALUE, USER = [50, 300], [20, 120]
+VALUE, USER = [50, 300], [2, 120]
 E_COLS = ["event_id", "event_type", "value", "user_id"]
 
 
@@ -144,7 +144,7 @@ QUERIES = {
 _E = "SELECT event_id, event_type, value, user_id FROM events WHERE "
 _K = "json_extract_string(props, '$.k')::BIGINT"
 _F = "SELECT event_id, ts, hour(ts) + minute(ts) / 60.0::DOUBLE AS time, greatest(5, least(450, value)) AS value, user_id, date_trunc('day', ts)::TIMESTAMP AS date FROM events"
-_ON = {"time": "time BETWEEN 6 AND 20", "value": "value BETWEEN 50 AND 300", "user_id": "user_id BETWEEN 20 AND 120"}
+_ON = {"time": "time BETWEEN 6 AND 20", "value": "value BETWEEN 50 AND 300", "user_id": "user_id BETWEEN 2 AND 120"}
 _X = lambda without="": " AND ".join(v for k, v in _ON.items() if k != without)
 _HIST = lambda dim, width: f"SELECT (floor({dim} / {width}) * {width})::BIGINT AS bucket, count(*) AS value FROM ({_F}) WHERE {_X(dim)} GROUP BY 1"
 
@@ -169,8 +169,8 @@ ORACLE = {
     "az_col_n": "SELECT row_number() OVER (ORDER BY value ASC NULLS LAST, event_id) - 1 AS pos, event_id, value FROM events QUALIFY pos < 25",
     "top_n": "SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id) - 1 AS pos FROM events QUALIFY pos < 15",
     "limit_source_order": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id FROM events WHERE value BETWEEN 50 AND 300 QUALIFY pos < 30",
-    "intersect_fused": _E + "value BETWEEN 50 AND 300 AND user_id BETWEEN 20 AND 120 AND event_type = 'click'",
-    "intersect_semi": _E + "value BETWEEN 50 AND 300 AND event_id IN (SELECT event_id FROM events WHERE user_id BETWEEN 20 AND 120) AND event_id IN (SELECT event_id FROM events WHERE event_type = 'click')",
+    "intersect_fused": _E + "value BETWEEN 50 AND 300 AND user_id BETWEEN 2 AND 120 AND event_type = 'click'",
+    "intersect_semi": _E + "value BETWEEN 50 AND 300 AND event_id IN (SELECT event_id FROM events WHERE user_id BETWEEN 2 AND 120) AND event_id IN (SELECT event_id FROM events WHERE event_type = 'click')",
     "group_flat": "SELECT o_orderpriority AS \"group\", row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx, o_orderkey FROM orders",
     "group_array": "SELECT o_orderstatus AS \"group\", string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
     "group_object": "SELECT o_orderstatus AS \"group\", count(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
