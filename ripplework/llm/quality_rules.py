@@ -73,8 +73,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def line_fails(line: bytes, words: list[bytes]) -> bool:
-    """The rules of a line that has words: marks, navigation, stuttering, boilerplate phrases."""
+def is_boilerplate(line: bytes) -> bool:
+    """Licence and site phrases: such a line goes, but says nothing against the rest, so its words don't count as lost."""
+    low = line.lower()
+    return any(p in low for p in BOILERPLATE)
+
+
+def is_junk(line: bytes, words: list[bytes]) -> bool:
+    """The rules of a line that has words: marks, navigation, stuttering."""
     n = len(words)
     marks = len(line) - len(line.translate(None, MARKS))
     if marks >= 3 and marks >= n:
@@ -86,8 +92,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
         twins = sum(map(bytes.__eq__, words[1:], words[:-1]))
         if 10 * twins >= 4 * n:
             return True
-    low = line.lower()
-    return any(p in low for p in BOILERPLATE)
+    return False
 
 
 def _judge(carry: tuple[str, ...] = ()):
@@ -110,9 +115,11 @@ def _judge(carry: tuple[str, ...] = ()):
                 dups += line in seen
                 seen.add(line)
                 total += len(words)
-                if line_fails(line, words):
+                if is_junk(line, words):
                     lost += len(words)
                     failed += 1
+                elif is_boilerplate(line):
+                    failed += 1
                 else:
                     stays.append(line)
                 codes += [number(w, len(numbers)) for w in words]
@@ -155,8 +162,8 @@ l2 AS (SELECT r, len(lw) AS n, nth,
          len(regexp_replace(line, '[^#*$%&<>!]', '', 'g')) AS marks, len(regexp_replace(line, '[^|]', '', 'g')) AS bars,
          len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) AS twins, len(list_distinct(lw)) AS kinds, low
        FROM l1 WHERE len(lw) > 0),
-l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) OR {_PHRASES} AS fails FROM l2),
-l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (fails), 0)::BIGINT AS n_lost_words, count(*) FILTER (fails) AS n_failed_lines FROM l3 GROUP BY r),
+l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) AS junk, {_PHRASES} AS phrase FROM l2),
+l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (junk), 0)::BIGINT AS n_lost_words, count(*) FILTER (junk OR phrase) AS n_failed_lines FROM l3 GROUP BY r),
 g AS (SELECT r, k, hash(ws[k], ws[k + 1], ws[k + 2], ws[k + 3], ws[k + 4]) AS gram, ws[k : k + 4] AS exact FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS k FROM w)),
 t AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, gram, exact) AS c FROM g) WHERE c > 1),
 c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM t) GROUP BY r),
