@@ -36,7 +36,7 @@ MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
 WINDOW = 5
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, n_failed_lines long, cleaned string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, n_failed_lines long, n_left_words long, cleaned string"
 
 
 def repeated_words(codes: np.ndarray, doc: np.ndarray, n_docs: int, window: int = WINDOW) -> np.ndarray:
@@ -74,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def is_boilerplate(line: bytes) -> bool:
-    """Licence and site phrases: such a line goes, but says nothing against the rest, so its words don't count as lost."""
+    """Licence and site phrases: such a line goes, but says nothing against the rest, so its words don't count as lost. A text of nothing else has no words left and goes."""
     low = line.lower()
     return any(p in low for p in BOILERPLATE)
 
@@ -98,13 +98,13 @@ def is_junk(line: bytes, words: list[bytes]) -> bool:
 def _judge(carry: tuple[str, ...] = ()):
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lost_words", "n_failed_lines", "cleaned")}
+        out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lost_words", "n_failed_lines", "n_left_words", "cleaned")}
         numbers: dict[bytes, int] = {}
         codes: list[int] = []
         number = numbers.setdefault
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
-            total = lost = dups = failed = 0
+            total = lost = dups = failed = left = 0
             seen: set[bytes] = set()
             stays: list[bytes] = []
             for line in raw.split(b"\n"):
@@ -122,6 +122,7 @@ def _judge(carry: tuple[str, ...] = ()):
                     failed += 1
                 else:
                     stays.append(line)
+                    left += len(words)
                 codes += [number(w, len(numbers)) for w in words]
             out["n_words"].append(total)
             out["word_chars"].append(len(text) - sum(map(text.count, SPACES)))
@@ -129,12 +130,13 @@ def _judge(carry: tuple[str, ...] = ()):
             out["n_dup_lines"].append(dups)
             out["n_lost_words"].append(lost)
             out["n_failed_lines"].append(failed)
+            out["n_left_words"].append(left)
             out["cleaned"].append(b"\n".join(stays).decode("utf-8", "surrogatepass"))
         n = np.array(out["n_words"], np.int64)
         doc = np.repeat(np.arange(len(n)), n)
         repeats = repeated_words(np.array(codes, np.int64), doc, len(n))
         failed_base = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-        kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n)
+        kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n) & (np.array(out["n_left_words"]) > 0)
         return out | {"doc_id": batch.column("doc_id"), "n_repeat_words": repeats, "base_failed": failed_base, "kept": kept} | {c: batch.column(c) for c in carry}
 
     return work
@@ -163,15 +165,15 @@ l2 AS (SELECT r, len(lw) AS n, nth,
          len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) AS twins, len(list_distinct(lw)) AS kinds, low
        FROM l1 WHERE len(lw) > 0),
 l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) AS junk, {_PHRASES} AS phrase FROM l2),
-l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (junk), 0)::BIGINT AS n_lost_words, count(*) FILTER (junk OR phrase) AS n_failed_lines FROM l3 GROUP BY r),
+l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (junk), 0)::BIGINT AS n_lost_words, count(*) FILTER (junk OR phrase) AS n_failed_lines, coalesce(sum(n) FILTER (NOT (junk OR phrase)), 0)::BIGINT AS n_left_words FROM l3 GROUP BY r),
 g AS (SELECT r, k, hash(ws[k], ws[k + 1], ws[k + 2], ws[k + 3], ws[k + 4]) AS gram, ws[k : k + 4] AS exact FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS k FROM w)),
 t AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, gram, exact) AS c FROM g) WHERE c > 1),
 c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM t) GROUP BY r),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        coalesce(l.n_lost_words, 0)::BIGINT AS n_lost_words, coalesce(l.n_failed_lines, 0)::BIGINT AS n_failed_lines
+        coalesce(l.n_lost_words, 0)::BIGINT AS n_lost_words, coalesce(l.n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(l.n_left_words, 0)::BIGINT AS n_left_words
       FROM w LEFT JOIN l USING (r) LEFT JOIN c USING (r))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AND n_left_words > 0 AS kept
 FROM b
 """

@@ -9,6 +9,7 @@ TEXTS = [
     "home | about | news | more | last\n" * 3 + "short end", "w*** x$$$ y### z%%% q&&& r<<< s>>> t*** u### v***",
     "these are words of a good text and there are enough of them here\nAll rights reserved.", "é\x1cü\x85ö ß " * 6, "long " + "z" * 50000,
     "very very very very very very bad bad bad bad bad bad line", "good words one two three four five six seven eight nine ten\n" * 2,
+    "This whole text is licensed under the terms of some public license.\nAll rights reserved.",
 ]
 
 
@@ -34,6 +35,7 @@ def test_base_and_verdict(spark):
     assert not any(r["kept"] and r["base_failed"] for r in got)
     kept = {r["cleaned"] for r in got if r["kept"]}
     assert TEXTS[4] in kept and TEXTS[10].split("\n")[0] in kept  # the boilerplate line went, the text stayed
+    assert all(t.split() for t in kept)  # nothing but boilerplate goes as a whole
     assert not any("***" in t or "very very" in t for t in kept)
     assert judge_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
