@@ -4,13 +4,15 @@ Base kinds (email, ip, card, phone) are found by their patterns, leftmost and wi
 fail their check are dropped. The patterns are written with possessive repeats and start guards, so that a long run of
 digits or letters is read once; both keep exactly the matches of the plain patterns.
 
-Beyond these, identifiers are found by bootstrapping: a candidate is a run of at least 8 letters, digits, hyphens and
-underscores with a digit in it, which a word and a mark (= or :, quotes, spaces) precede; the word and the mark are its
-lexical pattern. Seeds are candidates that overlap base matches, and those of a secret's shape (32 or more hex digits with
-both letters and digits). Patterns and values form a graph, and each of ROUNDS rounds scores them in turn: a pattern by
-the mean score of its distinct values, with a prior for rarely seen ones, and a value by its best pattern; seeds keep the score 1. Patterns of at
-least MIN_VALUES values and MIN_SCORE then mark all their candidates as the kind `id`, seen before or not, except where
-base matches stand.
+Beyond these, identifiers are found by bootstrapping: a candidate is a token with a digit or an at sign in it (letters,
+digits, _ + - / % @, dots inside, = signs at its end), or numbers that spaces and parentheses join; it has 8 characters at
+least, and no most. The word and the marks before it are one lexical pattern, the marks and the word after it another; keys
+may have digits, hyphens and underscores, and marks may be quotes, brackets or spaces alone. Seeds are candidates that
+overlap base matches, of any length, and those of a secret's shape (32 or more hex digits with both letters and digits).
+Patterns and values form a graph, and each of ROUNDS rounds scores them in turn: a pattern by the mean score of its distinct
+values, with a prior for rarely seen ones, and a value by its best pattern; seeds keep the score 1. Patterns of at least
+MIN_VALUES values and MIN_SCORE then mark all their candidates as the kind `id`, seen before or not, except where base
+matches stand. Of a context, the 72 nearest characters are read.
 
 Defined cases: a null or empty text has no spans; rows that share a doc_id are kept apart; a null doc_id passes through;
 repeated rows give repeated results, and count once as evidence; extra columns are ignored; an empty table gives an empty result.
@@ -28,8 +30,21 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
-#: word, mark, value
-CANDIDATE = r"(?<![A-Za-z0-9_-])([A-Za-z]{2,20})( ?[=:] ?[\"']?)((?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{8,200})(?![A-Za-z0-9_-])"
+_C = "A-Za-z0-9_+/%@-"
+_START = rf"(?<![{_C}])(?<![{_C}]\.{{1,2}})"
+_NUMBER = rf"[0-9]++(?:[.-][0-9]++)*+(?![{_C}]|\.{{1,2}}[{_C}])"
+_NUMBERS = rf"\+?+{_NUMBER}(?:[ ()]{{1,3}}+{_NUMBER})++"
+_TELLING = r"(?=[A-Za-z_+/%-]*+(?:\.{1,2}+[A-Za-z_+/%-]++)*+(?:\.{1,2}+)?+[0-9@])"
+#: Tokens below MIN_LENGTH are of use only as base matches, which have a dot in them.
+MIN_LENGTH = 8
+_TOKEN = rf"{_TELLING}(?=[.{_C}]{{{MIN_LENGTH - 2}}}[.={_C}]{{2}}|[{_C}]++\.[{_C}])[{_C}]++(?:\.{{1,2}}+[{_C}]++)*+(?:={{1,2}}+(?![{_C}]))?+"
+#: Numbers that spaces join, or a token; each is read a bounded number of times, however long.
+CANDIDATE = rf"{_START}(?:{_NUMBERS}|{_TOKEN})"
+#: Characters of context, and the word and marks at its near end.
+REACH = 72
+_WORD, _MARKS = r"[\p{L}\p{N}_-]{1,64}", r"[^\p{L}\p{N}_-]{1,8}"
+BEFORE = rf"({_WORD})({_MARKS})\z"
+AFTER = rf"\A({_MARKS})({_WORD})"
 SECRET = r"^(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,}$"
 ROUNDS = 3
 MIN_VALUES = 3
@@ -116,15 +131,30 @@ def _by_place(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda s: F.struct(s["d"].alias("kind"), s["a"].alias("start"), s["c"].alias("end"), s["b"].alias("rank")))
 
 
+def _near_word(side: str, pattern: str, word: int) -> Column:
+    """The lower-cased word of a context with its marks, less quotes and white space; null where there is none."""
+    context = F.col(side)
+    marks = F.regexp_replace(F.regexp_extract(context, pattern, 3 - word), "[\\s\"'`]", "")
+    marks = F.when(marks == "", " ").otherwise(marks)
+    key = F.lower(F.regexp_extract(context, pattern, word))
+    return F.when(context.rlike(pattern), F.concat(key, marks, F.lit("_")) if side == "before" else F.concat(F.lit("_"), marks, key))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """key, pattern, value, start, end, seed of each candidate in docs (key, text, base)."""
+    """key, pattern, value (its hash), start, end, in_base, seed of each candidate in docs (key, text, base), once for each of its patterns."""
     some = docs.where(F.col("text").rlike(CANDIDATE)).select("key", "base", *[x.alias(n) for n, x in zip(("m", "b"), _found(F.col("text"), CANDIDATE, F.lit(True)), strict=True)])
-    each = some.select("key", "base", F.explode(_placed(F.col("m"), F.col("b"))).alias("x"))
-    part = lambda k: F.regexp_extract(F.col("x.value"), CANDIDATE, k)
-    each = each.select("key", "base", F.lower(part(1)).alias("word"), F.regexp_replace(part(2), "[ \"']", "").alias("mark"), part(3).alias("value"), F.col("x.end").alias("end"))
-    each = each.select("key", "base", F.concat("word", "mark").alias("pattern"), "value", (F.col("end") - F.length("value")).alias("start"), "end")
+    # a neighbouring token can be a word of the context: key1=...
+    tail = lambda x: F.substring(x, -REACH, REACH)
+    head = lambda x: F.substring(x, 1, REACH)
+    or_none = lambda x: F.coalesce(x, F.lit(""))
+    before = lambda i: tail(F.concat(tail(or_none(F.when(i > 0, F.get("m", i - 1)))), tail(F.get("b", i))))
+    after = lambda i: head(F.concat(head(F.get("b", i + 1)), head(or_none(F.get("m", i + 1)))))
+    each = F.transform(_placed(F.col("m"), F.col("b")), lambda x, i: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), before(i).alias("before"), after(i).alias("after")))
+    each = some.select("key", "base", F.explode(each).alias("x")).select("key", "base", "x.*")
     hit = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    return each.select("key", "pattern", "value", "start", "end", hit.alias("in_base"), (hit | F.col("value").rlike(SECRET)).alias("seed"))
+    each = each.withColumn("in_base", hit).where(F.col("in_base") | (F.length("value") >= MIN_LENGTH))
+    each = each.withColumn("pattern", F.explode(F.array_compact(F.array(_near_word("before", BEFORE, 1), _near_word("after", AFTER, 2)))))
+    return each.select("key", "pattern", F.md5("value").alias("value"), "start", "end", "in_base", (F.col("in_base") | F.col("value").rlike(SECRET)).alias("seed"))
 
 
 def score_patterns(found: DataFrame) -> DataFrame:

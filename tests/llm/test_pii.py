@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from ripplework.llm.pii import find_pii, masked, op7_pii
+from ripplework.llm.pii import CANDIDATE, find_pii, masked, op7_pii
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -74,6 +74,33 @@ def test_contexts_reveal_identifiers(spark):
     assert [k for k, _ in spans[texts[15]]] == ["email"]
 
 
+def test_contexts_of_any_key_and_value(spark):
+    """Keys with _ - digits and quotes, spaces as marks, and values of other characters, long ones and spaced ones."""
+    hexes = iter(hashlib.sha1(str(i).encode()).hexdigest() for i in range(99))
+    odd = {
+        'api_key = "{}" .': "a.b/c+d1e==", "client-secret: {} .": "x@y12345", "key1={};": "ab-12345", '{{"token": "{}"}}': "eyJ0.eyJ1.sig_2-x", "Authorization: Bearer {}": "z1" * 150,
+        "passport {}, of": "X1234567", "phone: {} .": "017 555 7713",
+    }
+    seeded = [(form, next(hexes)) for form in odd for _ in range(6)]
+    texts = [form.format(v) for form, v in [*seeded, *odd.items()]]
+    spans = {r["text"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in find_pii(rows_of(spark, texts)).collect()}
+    for text, (_, value) in zip(texts, [*seeded, *odd.items()], strict=True):
+        assert spans[text] == [("id", value)], text
+
+
+def test_base_matches_reveal_contexts(spark):
+    texts = [f"mailbox: user{i}@mail.example.com!" for i in range(6)] + [f"host_2 10.0.0.{i} is" for i in range(6)] + ["mailbox: user9@localhost!", "host_2 node-7.local is", "room chapter-12 was"]
+    spans = {r["text"]: [(s["kind"], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in find_pii(rows_of(spark, texts)).collect()}
+    assert spans[texts[0]] == [("email", "user0@mail.example.com")] and spans[texts[6]] == [("ip", "10.0.0.0")]
+    assert spans[texts[12]] == [("id", "user9@localhost")] and spans[texts[13]] == [("id", "node-7.local")] and spans[texts[14]] == []
+
+
+def test_long_runs_are_read_once(spark):
+    texts = ["a." * 60000, "1 " * 9000 + "x", "1.1" * 30000 + "x", "a-" * 60000, "1." * 40000, "x1=" * 30000]
+    df = rows_of(spark, texts).withColumn("n", F.size(F.regexp_extract_all("text", F.lit(f"({CANDIDATE})"), F.lit(1))))
+    assert {r["text"]: r["n"] for r in df.collect()} == dict(zip(texts, [0, 1, 1, 0, 1, 0], strict=True))
+
+
 def test_masking(spark):
     df = find_pii(rows_of(spark, ["a b@c.de f 10.0.0.1", "none", "+4111111111111111!"]))
     got = {r["text"]: r["m"] for r in df.withColumn("m", masked("text", "spans")).collect()}
