@@ -121,6 +121,8 @@ QUERIES = {
     "group_flat": lambda s, d: orders(s, d).group(F.col("o_orderpriority")).df.select("group", "idx", "o_orderkey"),
     "group_array": lambda s, d: orders(s, d).limit(200).group(F.col("o_orderstatus"), "array").df.select("group", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("keys")),
     "group_object": lambda s, d: orders(s, d).limit(200).group(F.col("o_orderstatus"), "object").df.select("group", F.size("rows").cast("long").alias("n")),
+    "group_array_all": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "array").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",")).alias("keys_md5")),
+    "group_object_all": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "object").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.map_keys("rows")), lambda k: k.cast("string")), ",")).alias("keys_md5")),
     "group_limit": lambda s, d: orders(s, d).limit(50).group(F.col("o_orderpriority")).df.select("group", "idx", "o_orderkey", "pos"),
     "path_value": lambda s, d: _typed(s, d).path("props", "k").df,
     "path_of_row": lambda s, d: _typed(s, d).path("event_type", key=17).df,
@@ -174,6 +176,8 @@ ORACLE = {
     "group_flat": "SELECT o_orderpriority AS \"group\", row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx, o_orderkey FROM orders",
     "group_array": "SELECT o_orderstatus AS \"group\", string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
     "group_object": "SELECT o_orderstatus AS \"group\", count(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
+    "group_array_all": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
+    "group_object_all": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
     "group_limit": "SELECT o_orderpriority AS \"group\", row_number() OVER (PARTITION BY o_orderpriority ORDER BY pos) - 1 AS idx, o_orderkey, pos FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders QUALIFY pos < 50)",
     "path_value": f"SELECT event_id, {_K} AS value FROM events",
     "path_of_row": "SELECT event_id, event_type AS value FROM events WHERE event_id = 17",

@@ -32,6 +32,12 @@ def test_against_sql(spark, duck, name):
     assert plain([tuple(r) for r in df.select(*names).collect()]) == plain(sql.select(*(f'"{c}"' for c in names)).fetchall())
 
 
+@pytest.mark.parametrize("form", ["array", "object"])
+def test_groups_hold_the_whole_table(spark, form):
+    rows = entry.queries()[f"group_{form}_all"](spark, SF).collect()
+    assert sum(r["n"] for r in rows) == spark.read.parquet(f"{SF}/orders.parquet").count() > 200
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert entry.oracle_sql().keys() <= entry.queries().keys()
