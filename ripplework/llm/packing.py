@@ -8,9 +8,8 @@ The plan is made from the histogram of piece lengths, which has at most `capacit
 3. Actual pieces take the places of the rounded ones, and what rounding wasted is free again.
 4. Small pieces go best-fit into the free places, largest first, and into sequences of their own at last.
 
-This is done for several numbers of groups, with one length a group as the finest, and the plan with the fewest
-sequences counts. A piece's place follows from its rank among the pieces of its length, so nothing but counts is
-gathered. Ranks are counted in shards whose number follows the count of each length, so no length is ranked in one task.
+This is done for several numbers of groups, and the plan with the fewest sequences counts. A piece's place follows from its rank among the pieces of its length, so nothing but counts is
+gathered. Ranks are counted in shards, of each length the square root of its count, so no length is ranked in one task.
 
 Defined cases: a null or empty text is the end token alone; rows that share a doc_id, and repeated rows, are packed one by
 one; a null doc_id passes through; extra columns are ignored; an empty table gives an empty result.
@@ -18,6 +17,7 @@ one; a null doc_id passes through; extra columns are ignored; an empty table giv
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -32,11 +32,9 @@ from .common import map_chunks, materialize, rows_of, text_of
 CAPACITY = 1024
 END = 2
 #: Pieces up to this share of a sequence are small.
-SMALL = 1 / 16
-#: Numbers of groups that are tried; 0 stands for one length a group.
-GROUPS = (16, 64, 0)
-#: Pieces of one length that are ranked in one shard, about.
-SHARD_ROWS = 50_000
+SMALL = 1 / 4
+#: Numbers of groups that are tried; the finest leaves two lengths a group where all lengths up to 1024 occur.
+GROUPS = (128, 256, 512)
 
 Slots = dict[int, int]
 
@@ -69,8 +67,6 @@ def cut_pieces(documents: DataFrame, vocabulary: str = VOCABULARY, capacity: int
 
 def _round_up(large: list[tuple[int, int]], groups: int) -> dict[int, int]:
     """length -> the largest length of its group; large: (length, count), lengths descending. A length lies in one group."""
-    if not groups:
-        return {length: length for length, _ in large}
     share, out, filled, top = sum(c for _, c in large) / groups, {}, 0.0, 0
     for length, count in large:
         if not top or filled >= share:
@@ -218,12 +214,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, columns: tuple[str, ...] =
     """pieces with sequence_id and offset. pieces must be stored rows: they are read once for the counts and once more for the places."""
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     length, first_rank, each, sequence, offset = _lookup(plan(histogram, capacity))
-    shards = {k: 1 + v // SHARD_ROWS for k, v in histogram.items() if v > SHARD_ROWS}
-    n = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in shards.items() for x in kv]), F.col("length")), F.lit(1)) if shards else F.lit(1)
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece"), n.cast("long")).alias("shard"))
+    # as many shards as each then has rows, about: neither ranking a shard nor adding up its length's shards becomes one task's work
+    shards = F.lit([1 + math.isqrt(histogram.get(k, 0)) for k in range(max(histogram, default=0) + 1)])
+    dealt = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start"), F.get(shards, F.col("length").cast("int")).cast("long")).alias("shard"))
     per = dealt.groupBy("length", "shard").count()
     base = per.select(F.col("length").alias("b_length"), F.col("shard").alias("b_shard"), (F.sum("count").over(Window.partitionBy("length").orderBy("shard")) - F.col("count")).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32"))
+    own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = dealt.withColumn("own", own).join(base, (F.col("length") == F.col("b_length")) & (F.col("shard") == F.col("b_shard")))
     ranked = ranked.select(*columns, (F.col("base") + F.col("own") - 1).alias("rank"))
     fields = [f for f in pieces.select(*columns).schema.simpleString()[7:-1].split(",")]

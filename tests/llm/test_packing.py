@@ -6,6 +6,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from ripplework.llm.bpe import vocabulary_path
+from ripplework.llm import packing
 from ripplework.llm.packing import pack, pack_documents, plan
 
 
@@ -52,6 +53,21 @@ def test_huge_counts_cost_nothing_more():
     assert got <= 1.001 * sum(k * v for k, v in histogram.items()) / 1024
 
 
+def test_plans_come_from_groups_of_several_lengths(monkeypatch):
+    """Every plan is made of rounded sizes, and rounding joins lengths; the result is near the floor all the same."""
+    rng = random.Random(8)
+    histogram = Counter(min(1024, 1 + int(rng.expovariate(1 / 400))) for _ in range(30_000))
+    made = []
+    real = packing._round_up
+    monkeypatch.setattr(packing, "_round_up", lambda large, groups: made.append(real(large, groups)) or made[-1])
+    got = checked(plan(histogram), histogram, 1024)
+    assert len(made) == len(packing.GROUPS) and all(packing.GROUPS)
+    for rounded in made:
+        assert all(k <= top for k, top in rounded.items())
+        assert sum(n > 1 for n in Counter(rounded.values()).values()) > 50  # groups of two lengths or more
+    assert got <= 1.01 * sum(k * v for k, v in histogram.items()) / 1024
+
+
 def test_documents(spark):
     tokenizer = Tokenizer.from_file(vocabulary_path())
     texts = ["", None, "one two", "word " * 1500, "x y z " * 900, "one two", "a" * 40, "tie"] * 3
