@@ -2,12 +2,18 @@
 
 Words are maximal runs of anything but space and U+0009..U+000D. All counting is exact and runs over whole texts.
 
+A line with words fails if it is full of marks, bars, separators or links, has no letter or digit, is in capitals, stutters,
+has a phrase of boilerplate, or is one of a run of short lines without end marks (a menu). Failed lines go, and all their
+words count as lost: a document that loses more than MAX_LOST_PERCENT of its words is rejected. `cleaned` is what is left.
+
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike, one by one;
 a null doc_id passes through; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +24,11 @@ SPACES = " \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
 #: Marks that fill junk lines; the bar is the navigation rule's.
 MARKS = b"#*$%&<>!"
+#: What stands between the entries of a navigation line, as words of their own.
+SEPARATORS = ("|", "/", "\\", ">", "-", "»", "›", "·", "•")
+#: Marks that a line of running text ends with.
+ENDS = ".!?:;,\"')"
+LINKS = ("http://", "https://", "www.")
 #: Phrases of boilerplate lines, in ASCII lower case.
 BOILERPLATE = (
     b"all rights reserved",
@@ -31,6 +42,24 @@ BOILERPLATE = (
     b"click here",
     b"lorem ipsum",
 )
+#: Phrases that make a line of at most SHORT_LINE words boilerplate.
+SHORT_BOILERPLATE = (
+    b"back to top",
+    b"continue reading",
+    b"copyright",
+    b"follow us",
+    b"log in",
+    b"powered by",
+    b"read more",
+    b"share this",
+    b"sign up",
+    b"skip to content",
+    b"terms of use",
+)
+SHORT_LINE = 10
+#: Lines of at most MENU_WORDS words without an end mark, MENU_LINES or more in a row, are a menu.
+MENU_WORDS = 3
+MENU_LINES = 4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
@@ -73,14 +102,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def is_boilerplate(line: bytes) -> bool:
-    """Licence and site phrases: such a line goes, but says nothing against the rest, so its words don't count as lost. A text of nothing else has no words left and goes."""
+_SEPARATOR_WORDS = frozenset(x.encode() for x in SEPARATORS)
+_END_BYTES = frozenset(ENDS.encode())
+_LINK_STARTS = tuple(x.encode() for x in LINKS)
+_WORDLIKE = re.compile(rb"[0-9A-Za-z\x80-\xff]")
+_CAPITAL = bytes(range(65, 91))
+_SMALL = bytes(range(97, 123))
+
+
+def is_boilerplate(line: bytes, n: int) -> bool:
+    """Licence and site phrases."""
     low = line.lower()
-    return any(p in low for p in BOILERPLATE)
+    return any(p in low for p in BOILERPLATE) or (n <= SHORT_LINE and any(p in low for p in SHORT_BOILERPLATE))
 
 
 def is_junk(line: bytes, words: list[bytes]) -> bool:
-    """The rules of a line that has words: marks, navigation, stuttering."""
+    """The rules of a line that has words: marks, bars, separators, links, capitals, no letters or digits, stuttering."""
     n = len(words)
     marks = len(line) - len(line.translate(None, MARKS))
     if marks >= 3 and marks >= n:
@@ -88,13 +125,40 @@ def is_junk(line: bytes, words: list[bytes]) -> bool:
     bars = line.count(b"|")
     if bars >= 3 and 4 * bars >= n:
         return True
-    if n >= 4 and len(set(words)) * 10 <= 9 * n:
-        twins = sum(map(bytes.__eq__, words[1:], words[:-1]))
-        if 10 * twins >= 4 * n:
+    between = sum(w in _SEPARATOR_WORDS for w in words)
+    if between >= 2 and 3 * between >= n:
+        return True
+    if b"://" in line or b"www." in line:
+        if 2 * sum(w.startswith(_LINK_STARTS) for w in words) >= n:
+            return True
+    if _WORDLIKE.search(line) is None:
+        return True
+    if n >= 4:
+        capitals = len(line) - len(line.translate(None, _CAPITAL))
+        if capitals >= 10 and capitals > 4 * (len(line) - len(line.translate(None, _SMALL))):
+            return True
+        if len(set(words)) * 10 <= 9 * n and 10 * sum(map(bytes.__eq__, words[1:], words[:-1])) >= 4 * n:
             return True
     return False
 
 
+def is_entry(words: list[bytes]) -> bool:
+    """Whether a line may be an entry of a menu that has one to a line."""
+    return len(words) <= MENU_WORDS and words[-1][-1] not in _END_BYTES
+
+
+def _menus(entries: list[bool]) -> list[int]:
+    """The places, among lines with words, of entries that stand MENU_LINES or more in a row."""
+    out: list[int] = []
+    start = 0
+    for k in range(len(entries) + 1):
+        if k == len(entries) or not entries[k]:
+            if k - start >= MENU_LINES:
+                out += range(start, k)
+            start = k + 1
+    return out
+
+
 def _judge(carry: tuple[str, ...] = ()):
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -104,39 +168,43 @@ def _judge(carry: tuple[str, ...] = ()):
         number = numbers.setdefault
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
-            total = lost = dups = failed = left = 0
+            total = dups = 0
             seen: set[bytes] = set()
-            stays: list[bytes] = []
-            for line in raw.split(b"\n"):
+            lines = raw.split(b"\n")
+            sizes: list[int] = []  # words of each line that has any
+            places: list[int] = []
+            fails: list[bool] = []
+            entries: list[bool] = []
+            for at, line in enumerate(lines):
                 words = line.split()
                 if not words:
-                    stays.append(line)
                     continue
                 dups += line in seen
                 seen.add(line)
-                total += len(words)
-                if is_junk(line, words):
-                    lost += len(words)
-                    failed += 1
-                elif is_boilerplate(line):
-                    failed += 1
-                else:
-                    stays.append(line)
-                    left += len(words)
+                n = len(words)
+                total += n
+                sizes.append(n)
+                places.append(at)
+                entries.append(is_entry(words))
+                fails.append(is_junk(line, words) or is_boilerplate(line, n))
                 codes += [number(w, len(numbers)) for w in words]
+            for k in _menus(entries):
+                fails[k] = True
+            gone = {p for p, f in zip(places, fails, strict=True) if f}
+            lost = sum(n for n, f in zip(sizes, fails, strict=True) if f)
             out["n_words"].append(total)
             out["word_chars"].append(len(text) - sum(map(text.count, SPACES)))
             out["n_symbols"].append(len(raw) - len(raw.translate(None, SYMBOLS)))
             out["n_dup_lines"].append(dups)
             out["n_lost_words"].append(lost)
-            out["n_failed_lines"].append(failed)
-            out["n_left_words"].append(left)
-            out["cleaned"].append(b"\n".join(stays).decode("utf-8", "surrogatepass"))
+            out["n_failed_lines"].append(len(gone))
+            out["n_left_words"].append(total - lost)
+            out["cleaned"].append(b"\n".join([x for k, x in enumerate(lines) if k not in gone]).decode("utf-8", "surrogatepass") if gone else text)
         n = np.array(out["n_words"], np.int64)
         doc = np.repeat(np.arange(len(n)), n)
         repeats = repeated_words(np.array(codes, np.int64), doc, len(n))
         failed_base = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-        kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n) & (np.array(out["n_left_words"]) > 0)
+        kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n)
         return out | {"doc_id": batch.column("doc_id"), "n_repeat_words": repeats, "base_failed": failed_base, "kept": kept} | {c: batch.column(c) for c in carry}
 
     return work
@@ -153,6 +221,10 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 _PHRASES = " OR ".join(f"contains(low, '{p.decode()}')" for p in BOILERPLATE)
+_SHORT_PHRASES = " OR ".join(f"contains(low, '{p.decode()}')" for p in SHORT_BOILERPLATE)
+_SEPARATOR_LIST = ", ".join(f"'{x}'" for x in SEPARATORS)
+_END_LIST = ", ".join("'" + x.replace("'", "''") + "'" for x in ENDS)
+_LINK_TEST = " OR ".join(f"starts_with(w, '{x}')" for x in LINKS)
 
 OP3_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
@@ -160,12 +232,18 @@ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
 l0 AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 l1 AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
          row_number() OVER (PARTITION BY r, line ORDER BY i) AS nth FROM l0),
-l2 AS (SELECT r, len(lw) AS n, nth,
+l2 AS (SELECT r, i, len(lw) AS n, nth, row_number() OVER (PARTITION BY r ORDER BY i) AS place, low,
          len(regexp_replace(line, '[^#*$%&<>!]', '', 'g')) AS marks, len(regexp_replace(line, '[^|]', '', 'g')) AS bars,
-         len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) AS twins, len(list_distinct(lw)) AS kinds, low
+         len(list_filter(lw, lambda w: list_contains([{_SEPARATOR_LIST}], w))) AS separators, len(list_filter(lw, lambda w: {_LINK_TEST})) AS links,
+         len(regexp_replace(line, '[^A-Z]', '', 'g')) AS capitals, len(regexp_replace(line, '[^a-z]', '', 'g')) AS smalls,
+         regexp_matches(line, '[0-9A-Za-z]') OR regexp_matches(line, '[^\x00-\x7F]') AS wordlike, len(lw) <= {MENU_WORDS} AND NOT list_contains([{_END_LIST}], right(lw[-1], 1)) AS entry,
+         len(list_filter(range(2, len(lw) + 1), lambda k: lw[k] = lw[k - 1])) AS twins, len(list_distinct(lw)) AS kinds
        FROM l1 WHERE len(lw) > 0),
-l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) AS junk, {_PHRASES} AS phrase FROM l2),
-l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (junk), 0)::BIGINT AS n_lost_words, count(*) FILTER (junk OR phrase) AS n_failed_lines, coalesce(sum(n) FILTER (NOT (junk OR phrase)), 0)::BIGINT AS n_left_words FROM l3 GROUP BY r),
+l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (separators >= 2 AND 3 * separators >= n) OR (links > 0 AND 2 * links >= n) OR NOT wordlike
+         OR (n >= 4 AND capitals >= 10 AND capitals > 4 * smalls) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) AS junk,
+         {_PHRASES} OR (n <= {SHORT_LINE} AND ({_SHORT_PHRASES})) AS phrase, place - row_number() OVER (PARTITION BY r, entry ORDER BY i) AS island FROM l2),
+l4 AS (SELECT r, nth, n, junk OR phrase OR (entry AND count(*) OVER (PARTITION BY r, entry, island) >= {MENU_LINES}) AS failed FROM l3),
+l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_lost_words, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS n_left_words FROM l4 GROUP BY r),
 g AS (SELECT r, k, hash(ws[k], ws[k + 1], ws[k + 2], ws[k + 3], ws[k + 4]) AS gram, ws[k : k + 4] AS exact FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS k FROM w)),
 t AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, gram, exact) AS c FROM g) WHERE c > 1),
 c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM t) GROUP BY r),
@@ -174,6 +252,6 @@ b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x
         coalesce(l.n_lost_words, 0)::BIGINT AS n_lost_words, coalesce(l.n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(l.n_left_words, 0)::BIGINT AS n_left_words
       FROM w LEFT JOIN l USING (r) LEFT JOIN c USING (r))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AND n_left_words > 0 AS kept
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept
 FROM b
 """

@@ -94,8 +94,7 @@ def test_documents(spark):
     assert len(by) <= -(-total // 1024) + 1
 
 
-def test_hot_length_is_ranked_in_shards(spark, monkeypatch):
-    monkeypatch.setattr("ripplework.llm.packing.SHARD_ROWS", 50)
+def test_hot_length_is_ranked_in_shards(spark):
     df = spark.range(1000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "CAST(CASE WHEN id % 3 = 0 THEN 600 ELSE 100 + id % 50 END AS long) AS length", "0L AS ids_crc32")
     got = pack(df).collect()
     assert len(got) == 1000 and len({(r["sequence_id"], r["offset"]) for r in got}) == 1000

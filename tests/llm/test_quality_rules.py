@@ -1,7 +1,9 @@
 import re
 from collections import Counter
 
-from ripplework.llm.quality_rules import judge_documents
+import pyarrow as pa
+
+from ripplework.llm.quality_rules import _judge, judge_documents
 
 TEXTS = [
     "", None, " \n\t", "one two three", "plain words stand here in a line that is long enough to stay",
@@ -40,6 +42,40 @@ def test_base_and_verdict(spark):
     assert judge_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_lost_lines_count():
+    """Whatever rule removes a line, its words are lost: the text goes if they are more than half."""
+    good = "these are words of a good text and there are enough of them here."
+    cases = {
+        "marks": "a** b$$ c%% d##", "bars": "one|two|three|four", "separators": "Home > Products > Tools", "links": "see https://x.example/a",
+        "punctuation": "-- ** --", "capitals": "BUY ALL THE THINGS NOW", "stutter": "go go go go go now", "phrase": "Accept cookies to go on with this",
+        "short phrase": "Read more", "bullets": "first \u2022 second \u2022 third",
+    }
+    for name, line in cases.items():
+        for n, kept in ((1, True), (40, False)):
+            text = "\n".join([good, *[f"{line}"] * n])
+            got = judged([text])
+            assert got["n_failed_lines"] == [n], name
+            assert got["cleaned"] == [good] and got["n_left_words"] == [14], name
+            if not got["base_failed"][0]:
+                assert list(got["kept"]) == [kept], name
+    varied = [f"Click here for item {k} of {k * k} in the list of {k + 3}" for k in range(70)]
+    got = judged(["\n".join([good, *varied])])
+    assert not got["kept"][0] and not got["base_failed"][0] and got["n_lost_words"][0] == 70 * 12
+
+
+def test_menus():
+    menu = "\n".join(["Home", "About us", "Our shop", "Contact"])
+    prose = "\n".join(["this text has a title and goes on for long enough to stay here.", "Yes.", "No!", "Why?", "Title", "Part two", "One more"])
+    got = judged([f"{prose}\n{menu}", prose, f"{prose}\nand an end that parts them from the rest.\n{menu}\n\n \nLast entry"])
+    assert got["n_failed_lines"] == [7, 0, 5]  # blank lines part no menu; a run goes on over them
+    assert "Home" not in got["cleaned"][2] and got["cleaned"][1] == prose
+
+
+def judged(texts):
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    return _judge()(batch)
+
+
 def test_labels(spark):
     sf = "/root/testdata/sf0.01"
     judged = judge_documents(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
