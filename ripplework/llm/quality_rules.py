@@ -4,7 +4,8 @@ Words are maximal runs of anything but space and U+0009..U+000D. All counting is
 
 A line with words fails if it is full of marks, bars, separators or links, has no letter or digit, is in capitals, stutters,
 has a phrase of boilerplate, or is one of a run of short lines without end marks (a menu). Failed lines go, and all their
-words count as lost: a document that loses more than MAX_LOST_PERCENT of its words is rejected. `cleaned` is what is left.
+words count as lost: a document that loses more than MAX_LOST_PERCENT of its words, one notice aside (see NOTICE_WORDS), or
+all of them, is rejected. `cleaned` is what is left.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows are judged alike, one by one;
 a null doc_id passes through; extra columns are ignored; an empty table gives an empty result.
@@ -63,6 +64,9 @@ MENU_LINES = 4
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 MAX_LOST_PERCENT = 50
+#: One boilerplate line of at most this many words, the longest of them, is a notice that a good text may have whatever its
+#: length: it goes, and counts in n_lost_words, but the verdict doesn't hold it against the text.
+NOTICE_WORDS = 15
 WINDOW = 5
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lost_words long, n_failed_lines long, n_left_words long, cleaned string"
@@ -165,10 +169,11 @@ def _judge(carry: tuple[str, ...] = ()):
         out: dict[str, list] = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lost_words", "n_failed_lines", "n_left_words", "cleaned")}
         numbers: dict[bytes, int] = {}
         codes: list[int] = []
+        notices: list[int] = []
         number = numbers.setdefault
         for text in texts:
             raw = text.encode("utf-8", "surrogatepass")
-            total = dups = 0
+            total = dups = notice = 0
             seen: set[bytes] = set()
             lines = raw.split(b"\n")
             sizes: list[int] = []  # words of each line that has any
@@ -186,12 +191,17 @@ def _judge(carry: tuple[str, ...] = ()):
                 sizes.append(n)
                 places.append(at)
                 entries.append(is_entry(words))
-                fails.append(is_junk(line, words) or is_boilerplate(line, n))
+                junk = is_junk(line, words)
+                phrase = not junk and is_boilerplate(line, n)
+                fails.append(junk or phrase)
+                if phrase and notice < n <= NOTICE_WORDS:
+                    notice = n
                 codes += [number(w, len(numbers)) for w in words]
             for k in _menus(entries):
                 fails[k] = True
             gone = {p for p, f in zip(places, fails, strict=True) if f}
             lost = sum(n for n, f in zip(sizes, fails, strict=True) if f)
+            notices.append(notice)
             out["n_words"].append(total)
             out["word_chars"].append(len(text) - sum(map(text.count, SPACES)))
             out["n_symbols"].append(len(raw) - len(raw.translate(None, SYMBOLS)))
@@ -204,7 +214,8 @@ def _judge(carry: tuple[str, ...] = ()):
         doc = np.repeat(np.arange(len(n)), n)
         repeats = repeated_words(np.array(codes, np.int64), doc, len(n))
         failed_base = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
-        kept = ~failed_base & (100 * np.array(out["n_lost_words"]) <= MAX_LOST_PERCENT * n)
+        against = np.array(out["n_lost_words"], np.int64) - np.array(notices, np.int64)
+        kept = ~failed_base & (100 * against <= MAX_LOST_PERCENT * n) & (np.array(out["n_left_words"]) > 0)
         return out | {"doc_id": batch.column("doc_id"), "n_repeat_words": repeats, "base_failed": failed_base, "kept": kept} | {c: batch.column(c) for c in carry}
 
     return work
@@ -242,16 +253,16 @@ l2 AS (SELECT r, i, len(lw) AS n, nth, row_number() OVER (PARTITION BY r ORDER B
 l3 AS (SELECT *, (marks >= 3 AND marks >= n) OR (bars >= 3 AND 4 * bars >= n) OR (separators >= 2 AND 3 * separators >= n) OR (links > 0 AND 2 * links >= n) OR NOT wordlike
          OR (n >= 4 AND capitals >= 10 AND capitals > 4 * smalls) OR (n >= 4 AND kinds * 10 <= 9 * n AND 10 * twins >= 4 * n) AS junk,
          {_PHRASES} OR (n <= {SHORT_LINE} AND ({_SHORT_PHRASES})) AS phrase, place - row_number() OVER (PARTITION BY r, entry ORDER BY i) AS island FROM l2),
-l4 AS (SELECT r, nth, n, junk OR phrase OR (entry AND count(*) OVER (PARTITION BY r, entry, island) >= {MENU_LINES}) AS failed FROM l3),
-l AS (SELECT r, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_lost_words, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS n_left_words FROM l4 GROUP BY r),
+l4 AS (SELECT r, nth, n, CASE WHEN phrase AND NOT junk AND n <= {NOTICE_WORDS} THEN n END AS notice, junk OR phrase OR (entry AND count(*) OVER (PARTITION BY r, entry, island) >= {MENU_LINES}) AS failed FROM l3),
+l AS (SELECT r, coalesce(max(notice), 0) AS notice, count(*) FILTER (nth > 1) AS n_dup_lines, coalesce(sum(n) FILTER (failed), 0)::BIGINT AS n_lost_words, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(n) FILTER (NOT failed), 0)::BIGINT AS n_left_words FROM l4 GROUP BY r),
 g AS (SELECT r, k, hash(ws[k], ws[k + 1], ws[k + 2], ws[k + 3], ws[k + 4]) AS gram, ws[k : k + 4] AS exact FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS k FROM w)),
 t AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, gram, exact) AS c FROM g) WHERE c > 1),
 c AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(k, k + 5)) AS p FROM t) GROUP BY r),
 b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        coalesce(l.n_lost_words, 0)::BIGINT AS n_lost_words, coalesce(l.n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(l.n_left_words, 0)::BIGINT AS n_left_words
+        coalesce(l.n_lost_words, 0)::BIGINT AS n_lost_words, coalesce(l.n_failed_lines, 0)::BIGINT AS n_failed_lines, coalesce(l.n_left_words, 0)::BIGINT AS n_left_words, coalesce(l.notice, 0) AS notice
       FROM w LEFT JOIN l USING (r) LEFT JOIN c USING (r))
-SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * n_lost_words <= {MAX_LOST_PERCENT} * n_words AS kept
+SELECT * EXCLUDE (notice), n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND 100 * (n_lost_words - notice) <= {MAX_LOST_PERCENT} * n_words AND n_left_words > 0 AS kept
 FROM b
 """

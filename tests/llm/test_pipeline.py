@@ -17,18 +17,20 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r["doc_id"]: r for r in docs.collect()}
-    kept = {r["doc_id"] for r in judge_documents(docs).where("kept").collect()}
+    clean = {r["doc_id"]: r["cleaned"] for r in judge_documents(docs).where("kept").collect()}
+    kept = set(clean)
     now = P.materialize(P.quality(spark, docs, SF), "t1")
-    assert {r["doc_id"]: r["text"] for r in now.collect()} == {k: rows[k]["text"] for k in kept} and now.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in now.collect()} == clean and now.columns == docs.columns
+    assert clean != {k: rows[k]["text"] for k in kept}  # failed lines are gone
 
     # lines
     held = defaultdict(set)
     key = lambda x: x.strip(" \t\n\v\f\r").encode().lower().decode()
     for k in kept:
-        for x in (rows[k]["text"] or "").split("\n"):
+        for x in clean[k].split("\n"):
             if len(key(x)) >= 20:
                 held[key(x)].add(k)
-    texts = {k: "\n".join(x for x in (rows[k]["text"] or "").split("\n") if len(held[key(x)]) < 3 or k == max(held[key(x)])) for k in kept}
+    texts = {k: "\n".join(x for x in clean[k].split("\n") if len(held[key(x)]) < 3 or k == max(held[key(x)])) for k in kept}
     now = P.materialize(P.lines(spark, now, SF), "t2")
     got = now.collect()
     assert {r["doc_id"]: r["text"] for r in got} == texts and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -72,6 +74,23 @@ def test_empty_table(spark, stage):
     assert stage(spark, docs, SF).count() == 0
 
 
+@pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
+def test_clashing_columns_and_a_very_long_text(spark, stage):
+    """Extra columns under names that stages use themselves go no further; a text of megabytes is taken whole."""
+    names = ("key", "id", "tid", "drop", "kept", "cleaned", "kept_text", "base", "spans", "more", "f_id", "n", "length", "shard", "rank")
+    long = " ".join(f"word{k % 5003} and{k} so." for k in range(120_000))
+    rows = [(1, long, "en", "s", 5, *names), (2, "a short text of ten words or more that stays as it is here", "en", "s", 1, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    got = stage(spark, spark.createDataFrame(rows, schema), SF)
+    if stage is P.packing:
+        lengths = Counter()
+        for r in got.collect():
+            lengths[r["doc_id"]] += r["length"]
+        assert lengths[1] == len(Tokenizer.from_file(vocabulary_path()).encode(long, add_special_tokens=False).ids) + 1
+    else:
+        assert got.columns == list(P.COLUMNS) and {r["doc_id"]: r["text"] for r in got.collect()} == {r[0]: r[1] for r in rows}
+
+
 def test_repeated_rows_and_nulls(spark):
     base = " ".join(f"word{k} more{k}." for k in range(40))
     rows = [(1, base, "en", "s", 5), (1, base, "en", "s", 5), (1, None, None, None, None), (None, base + " end", "en", "s", 9), (2, "", "", "", 0), (3, base.replace("word7", "other"), "de", "t", 1)]
