@@ -25,12 +25,19 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, as they are."""
-    return judge_documents(docs, ("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
+    """Documents that the quality rules keep, without their failed lines.
+
+    A null, empty or wordless text is rejected; repeated rows are judged alike, one by one; a null doc_id passes through;
+    extra columns go no further; an empty table stays empty.
+    """
+    return _sized(judge_documents(docs, ("lang", "source")).where("kept").withColumn("text", F.col("cleaned")), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that a later one keeps. A null text becomes an empty one."""
+    """Documents without the lines that a later one keeps. A null text becomes an empty one.
+
+    Rows that share a doc_id are one document to the counts; a null doc_id ranks below all others; extra columns go no further.
+    """
     return _sized(dedup_lines(docs, ("lang", "source")).withColumnRenamed("kept_text", "text"), docs)
 
 
@@ -50,12 +57,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their personal data masked by its kind. A null text becomes an empty one."""
+    """Documents with their personal data masked by its kind. A null text becomes an empty one.
+
+    Repeated rows are masked alike and count once as evidence; rows that share a doc_id are kept apart; extra columns go no further.
+    """
     return _sized(find_pii(docs, ("lang", "source")).withColumn("text", masked("text", "spans")), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all documents.
+
+    A null or empty text is the end token alone; repeated rows are packed one by one; a null doc_id passes through.
+    """
     return pack_documents(docs)
 
 
