@@ -52,6 +52,7 @@ MIN_SCORE = 0.6
 #: Values of the score 0 that every pattern starts with.
 PRIOR = 1.0
 
+MATCH = "struct<value:string,start:int,end:int>"
 SPAN = "struct<kind:string,start:int,end:int,rank:int>"
 
 
@@ -61,17 +62,48 @@ def _found(text: Column, pattern: str, maybe: Column) -> tuple[Column, Column]:
     return F.when(maybe, F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).otherwise(none), F.when(maybe, F.split(text, pattern, -1)).otherwise(none)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value evaluated once, however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_chunks(items: Column, zero: Column, step, kind: str) -> Column:
+    """One array of what step(at, chunk) gives for chunks of an array, in order; kind: the type of its elements.
+
+    step returns struct(at, out: array): what goes on to the next chunk, and the chunk's part of the result. An array that
+    grows by an element a step is copied with each; chunks of the square root's size keep the copies few at any length.
+    """
+
+    def run(bound: Column) -> Column:
+        xs, size = bound["xs"], bound["size"]
+        start = F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+
+        def chunk(state: Column, first: Column) -> Column:
+            done = _once(F.slice(xs, first + 1, size), lambda own: step(state["at"], own))
+            return _once(done, lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
+
+        firsts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.size(xs) - 1, size)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(firsts, start, chunk, lambda s: F.flatten(s["out"]))
+
+    sized = lambda xs: F.struct(xs.alias("xs"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs))).cast("int")).alias("size"))
+    return _once(_once(items, sized), run)
+
+
 def _placed(matches: Column, between: Column) -> Column:
     """array<struct(value, start, end)> from the matches and what stands between them, in code points."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,end:int>>").alias("out"))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(x["value"].alias("value"), begin.alias("start"), end.alias("end")))).alias("out"))
+    def chunk(at: Column, xs: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().cast(f"array<{MATCH}>").alias("out"))
 
-    pairs = F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.get(between, i).alias("gap")))
-    return F.aggregate(pairs, start, step, lambda s: s["out"])
+        def step(state: Column, x: Column) -> Column:
+            begin = state["at"] + x["gap"]
+            end = begin + F.length(x["value"])
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(x["value"].alias("value"), begin.alias("start"), end.alias("end")))).alias("out"))
+
+        return F.aggregate(xs, start, step)
+
+    pairs = _once(between, lambda gaps: F.transform(matches, lambda m, i: F.struct(m.alias("value"), F.length(F.get(gaps, i)).alias("gap"))))
+    return _in_chunks(pairs, F.lit(0), chunk, MATCH)
 
 
 def _digits(x: Column) -> Column:
@@ -107,23 +139,22 @@ def _maybe(kind: str) -> Column:
     }[kind]
 
 
-def _spans_of(kind: str, rank: int) -> Column:
-    matches = F.col(f"_m_{kind}")
-    placed = F.filter(_placed(matches, F.col(f"_b_{kind}")), lambda x: _valid(kind, x["value"]))
-    spans = F.transform(placed, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank")))
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
     """docs with `base`: array of (kind, start, end, rank) by start, then kind as listed."""
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
+    own: dict[str, Column] = {}
     for kind, pattern in patterns.items():
-        matches, between = _found(F.col("text"), pattern, _maybe(kind))
-        docs = docs.withColumns({f"_m_{kind}": matches, f"_b_{kind}": between})
-    for rank, kind in enumerate(KINDS):
-        docs = docs.withColumn(f"_s_{kind}", _spans_of(kind, rank))
-    base = _by_place(F.concat(*(f"_s_{k}" for k in KINDS)))
-    return docs.withColumn("base", base).drop(*(f"_{x}_{k}" for x in "mbs" for k in KINDS))
+        own[f"_m_{kind}"], own[f"_b_{kind}"] = _found(F.col("text"), pattern, _maybe(kind))
+    docs = docs.withColumns(own)
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(r).alias("rank"), F.col(f"_m_{k}").alias("m"), F.col(f"_b_{k}").alias("b")) for r, k in enumerate(KINDS)))
+
+    def spans(of: Column) -> Column:
+        valid = lambda x: F.when(of["kind"] == "email", F.lit(True)).when(of["kind"] == "ip", _valid("ip", x["value"])).when(of["kind"] == "card", _valid("card", x["value"])).otherwise(_valid("phone", x["value"]))
+        good = F.filter(_placed(of["m"], of["b"]), valid)
+        return F.transform(good, lambda x: F.struct(of["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), of["rank"].alias("rank")))
+
+    found = F.flatten(F.transform(F.filter(each, lambda k: F.size(k["m"]) > 0), spans))
+    return docs.withColumn("base", _by_place(found)).drop(*own)
 
 
 def _by_place(spans: Column) -> Column:
@@ -140,6 +171,23 @@ def _near_word(side: str, pattern: str, word: int) -> Column:
     return F.when(context.rlike(pattern), F.concat(key, marks, F.lit("_")) if side == "before" else F.concat(F.lit("_"), marks, key))
 
 
+def _overlapping(placed: Column, base: Column) -> Column:
+    """placed with in_base: whether a base span overlaps. Each chunk looks at the base spans in its own stretch alone."""
+    kind = "struct<value:string,start:int,end:int,in_base:boolean>"
+
+    def chunk(at: Column, xs: Column) -> Column:
+        ends = F.struct(F.element_at(xs, 1)["start"].alias("low"), F.element_at(xs, -1)["end"].alias("high"))
+        inside = _once(ends, lambda e: F.filter(base, lambda s: (s["start"] < e["high"]) & (s["end"] > e["low"])))
+
+        def marked(near: Column) -> Column:
+            hit = lambda x: F.exists(near, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+            return F.transform(xs, lambda x: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), hit(x).alias("in_base")))
+
+        return F.struct(at.alias("at"), _once(inside, marked).alias("out"))
+
+    return _in_chunks(placed, F.lit(0), chunk, kind)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """key, pattern, value (its hash), start, end, in_base, seed of each candidate in docs (key, text, base), once for each of its patterns."""
     some = docs.where(F.col("text").rlike(CANDIDATE)).select("key", "base", *[x.alias(n) for n, x in zip(("m", "b"), _found(F.col("text"), CANDIDATE, F.lit(True)), strict=True)])
@@ -149,10 +197,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     or_none = lambda x: F.coalesce(x, F.lit(""))
     before = lambda i: tail(F.concat(tail(or_none(F.when(i > 0, F.get("m", i - 1)))), tail(F.get("b", i))))
     after = lambda i: head(F.concat(head(F.get("b", i + 1)), head(or_none(F.get("m", i + 1)))))
-    each = F.transform(_placed(F.col("m"), F.col("b")), lambda x, i: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), before(i).alias("before"), after(i).alias("after")))
-    each = some.select("key", "base", F.explode(each).alias("x")).select("key", "base", "x.*")
-    hit = F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    each = each.withColumn("in_base", hit).where(F.col("in_base") | (F.length("value") >= MIN_LENGTH))
+    placed = _overlapping(_placed(F.col("m"), F.col("b")), F.col("base"))
+    each = F.transform(placed, lambda x, i: F.struct(x["value"].alias("value"), x["start"].alias("start"), x["end"].alias("end"), x["in_base"].alias("in_base"), before(i).alias("before"), after(i).alias("after")))
+    each = some.select("key", F.explode(each).alias("x")).select("key", "x.*").where(F.col("in_base") | (F.length("value") >= MIN_LENGTH))
     each = each.withColumn("pattern", F.explode(F.array_compact(F.array(_near_word("before", BEFORE, 1), _near_word("after", AFTER, 2)))))
     return each.select("key", "pattern", F.md5("value").alias("value"), "start", "end", "in_base", (F.col("in_base") | F.col("value").rlike(SECRET)).alias("seed"))
 
@@ -189,16 +236,25 @@ def _listed(spans: str) -> Column:
 
 def masked(text: str, spans: str) -> Column:
     """The text with each span, and what overlapping spans cover together, replaced by its first kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    def chunk(at: Column, xs: Column) -> Column:
+        """The chunk's stretch of text is cut out once: a cut costs as much as stands before it."""
+
+        def inside(own: Column) -> Column:
+            start = F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))
+
+            def step(state: Column, s: Column) -> Column:
+                gap = F.substring(own, state["at"] - at + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
+                fresh = s["start"] >= state["at"]
+                piece = F.when(fresh, F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+
+            return F.aggregate(xs, start, step, lambda s: F.struct(s["at"].alias("at"), F.array(F.array_join(s["out"], "")).alias("out")))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text), state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        fresh = s["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
+        return _once(F.substring(F.col(text), at + 1, F.array_max(F.transform(xs, lambda s: s["end"])) - at), inside)
 
-    done = F.aggregate(F.col(spans), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) == 0, F.col(text)).otherwise(done)
+    end = F.array_max(F.transform(F.col(spans), lambda s: s["end"]))
+    rest = F.substring(F.col(text), end + 1, F.length(text))
+    return F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(F.array_join(_in_chunks(F.col(spans), F.lit(0), chunk, "string"), ""), rest))
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 import hashlib
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
+import regex
 from pyspark.sql import functions as F
 
+from ripplework.llm import pii as P
 from ripplework.llm.pii import CANDIDATE, find_pii, masked, op7_pii
 
 PLAIN = {
@@ -101,6 +104,58 @@ def test_long_runs_are_read_once(spark):
     assert {r["text"]: r["n"] for r in df.collect()} == dict(zip(texts, [0, 1, 1, 0, 1, 0], strict=True))
 
 
+def test_many_matches_in_one_text(spark):
+    """Places and masks of thousands of matches in a text, cut in chunks inside, are those of the plain patterns."""
+    text = "".join(f"mail u{k}@h{k}.example.org or 10.0.{k % 256}.7, " + ("call +49 170 1234567" if k % 3 else "") + "\u00e9\n" for k in range(3000))
+    got = find_pii(rows_of(spark, [text, "none", text[:501]])).select("doc_id", "text", "base", masked("text", "base").alias("clean")).collect()
+    for r in got:
+        want = naive(r["text"])
+        assert [(x["kind"], x["start"], x["end"]) for x in r["base"]] == [tuple(x[:3]) for x in want]
+        out, at = [], 0
+        for kind, start, end, *_ in want:
+            if start >= at:
+                out += [r["text"][at:start], f"[{kind}]"]
+            at = max(at, end)
+        assert r["clean"] == "".join(out) + r["text"][at:]
+
+
+def test_added_spans_against_brute_force(spark):
+    """All candidates, contexts, rounds and thresholds again, in plain Python."""
+    rng = random.Random(3)
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = []
+    for k in range(60):
+        texts.append(f"the key is {token(40)} for now")
+        texts.append(f"write to a{k}@b{k}.example.com or ref-{token(12)} today")
+        texts.append(f"the key is T{token(10)}7 for {'now' if k % 2 else 'later'} and order {10**8 + k} went out")
+        texts.append(f"number {10**9 + 7 * k} of lot={token(9)}1")
+    texts.append("the key is " + "x1" * 500 + " for now")
+    got = {r["doc_id"]: {(s["kind"], s["start"], s["end"]) for s in r["spans"]} for r in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    edges, seeds, places = defaultdict(set), set(), defaultdict(set)
+    for i, text in enumerate(texts):
+        base = [x[:3] for x in naive(text)]
+        found = [m for m in regex.finditer(P.CANDIDATE, text)]
+        for m in found:
+            inside = any(a < m.end() and b > m.start() for _, a, b in base)
+            if not inside and len(m[0]) < P.MIN_LENGTH:
+                continue
+            if inside or re.search(P.SECRET, m[0]):
+                seeds.add(m[0])
+            before, after = re.search(r"([\w-]{1,64})([^\w-]{1,8})\Z", text[max(0, m.start() - P.REACH) : m.start()]), re.match(r"([^\w-]{1,8})([\w-]{1,64})", text[m.end() : m.end() + P.REACH])
+            bare = lambda x: re.sub(r"[\s\"'`]", "", x) or " "
+            for name in ([f"{before[1].lower()}{bare(before[2])}_"] if before else []) + ([f"_{bare(after[1])}{after[2].lower()}"] if after else []):
+                edges[name].add(m[0])
+                if not inside:
+                    places[name].add((i, m.start(), m.end()))
+    score = {v: float(v in seeds) for own in edges.values() for v in own}
+    for _ in range(P.ROUNDS):
+        pattern = {p: sum(score[v] for v in own) / (len(own) + P.PRIOR) for p, own in edges.items()}
+        score = {v: 1.0 if v in seeds else max(pattern[p] for p, own in edges.items() if v in own) for v in score}
+    want = {x for p in edges if len(edges[p]) >= P.MIN_VALUES and pattern[p] >= P.MIN_SCORE for x in places[p]}
+    assert {(i, a, b) for i, own in got.items() for kind, a, b in own if kind == "id"} == want
+    assert any(b - a == 1000 for _, a, b in want) and len(want) > 60
+
+
 def test_masking(spark):
     df = find_pii(rows_of(spark, ["a b@c.de f 10.0.0.1", "none", "+4111111111111111!"]))
     got = {r["text"]: r["m"] for r in df.withColumn("m", masked("text", "spans")).collect()}
