@@ -5,8 +5,8 @@ at least MIN_CHARS code points that MIN_DOCS documents hold loses all its lines
 
 The exact table has one row per key: how many documents hold it and the largest doc_id. Sharded by the key's hash, the
 keys over the limit also go into cuckoo filters. A document's lines are first held against the filters, and only lines
-that a filter lets through reach the exact table, so a filter's false hits never show. LineIndex keeps the table of
-(key, doc_id) references on disk: documents can be inserted and deleted again, which restores lines.
+that a filter lets through reach the exact table, so a filter's false hits never show. LineIndex keeps (key, doc_id)
+references and the filters on disk, by shard: documents can be inserted and deleted again, which restores lines.
 
 Defined cases: a null or empty text is one empty line; a null doc_id ranks below all others; rows that share a doc_id
 count as one document, and each row is cleaned alike; repeated rows give repeated results; extra columns are ignored.
@@ -28,8 +28,10 @@ from .common import fields_of, map_chunks, materialize, rows_of, text_of
 MIN_CHARS = 20
 MIN_DOCS = 3
 SPACES = b" \t\n\v\f\r"
-#: Filters up to this size in all are sent to every task; beyond it, lines meet the exact table in a shuffled join.
+#: Filters up to this size in all are sent to every task; beyond it, lines are sent to the filters of their shards.
 BROADCAST_BYTES = 32 << 20
+#: Tasks that share a shard's lines in that case, so that a line which many documents hold isn't one task's work.
+SALTS = 64
 #: Keys that one shard's filter is laid out for.
 SHARD_KEYS = 1 << 15
 
@@ -47,6 +49,10 @@ class CuckooFilter:
         self.table = np.zeros((size, self.SLOTS), np.uint16)
         self.stash: list[tuple[int, int]] = []
 
+    @property
+    def capacity(self) -> int:
+        return int(len(self.table) * self.SLOTS * 0.84)
+
     @property
     def mask(self) -> int:
         return len(self.table) - 1
@@ -162,29 +168,46 @@ def droppable(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("n_docs") >= MIN_DOCS).select("key", "last_doc")
 
 
-def _suspects(documents: DataFrame, limits: DataFrame, n_limits: int) -> DataFrame:
-    """(key, doc_id) of the lines that the filters let through: all lines over the limit, and few others."""
-    lines = line_keys(documents)
-    if n_limits * 3 > BROADCAST_BYTES:
-        return lines
-    n_shards = max(1, n_limits // SHARD_KEYS)
-    filters = {r["shard"]: bytes(r["cuckoo"]) for r in build_filters(limits, n_shards).collect()}
-    sent = documents.sparkSession.sparkContext.broadcast(filters)
+def _passing(shards: np.ndarray, keys: list[bytes], cuckoos: dict[int, CuckooFilter]) -> np.ndarray:
+    """Which keys the filters of their shards let through."""
+    hashes = np.frombuffer(b"".join(k[:8] for k in keys), "<u8")
+    hit = np.zeros(len(hashes), bool)
+    for shard in set(shards.tolist()) & cuckoos.keys():
+        own = shards == shard
+        hit[own] = cuckoos[shard].contains(hashes[own])
+    return hit
+
+
+def screened(lines: DataFrame, filters: DataFrame, n_shards: int, n_keys: int) -> DataFrame:
+    """(key, doc_id) of the lines that the stored filters (shard, cuckoo) of n_keys keys let through: all with such a key, and few others."""
+    asked = lines.select("key", "doc_id", _shard(n_shards))
+    if n_keys * 3 <= BROADCAST_BYTES:
+        sent = lines.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["cuckoo"]) for r in filters.collect()})
 
-    def probe(batches):
-        cuckoos = {shard: CuckooFilter.from_bytes(raw) for shard, raw in sent.value.items()}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hashes = np.frombuffer(b"".join(k[:8] for k in batch.column("key").to_pylist()), "<u8")
-            shards = batch.column("shard").to_numpy()
-            hit = np.zeros(len(hashes), bool)
-            for shard in set(shards.tolist()) & cuckoos.keys():
-                own = shards == shard
-                hit[own] = cuckoos[shard].contains(hashes[own])
-            yield batch.select(["key", "doc_id"]).filter(pa.array(hit))
+        def probe(batches):
+            cuckoos = {shard: CuckooFilter.from_bytes(raw) for shard, raw in sent.value.items()}
+            for batch in batches:
+                if batch.num_rows:
+                    hit = _passing(batch.column("shard").to_numpy(), batch.column("key").to_pylist(), cuckoos)
+                    yield batch.select(["key", "doc_id"]).filter(pa.array(hit))
 
-    return lines.select("key", "doc_id", _shard(n_shards)).mapInArrow(probe, "key binary, doc_id long")
+        return asked.mapInArrow(probe, "key binary, doc_id long")
+
+    def meet(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        out = own[["key", "doc_id"]].astype({"doc_id": "Int64"})
+        if not len(own) or not len(kept):
+            return out[:0]
+        cuckoos = {int(kept["shard"].iloc[0]): CuckooFilter.from_bytes(bytes(kept["cuckoo"].iloc[0]))}
+        return out[_passing(own["shard"].to_numpy(), [bytes(k) for k in own["key"]], cuckoos)]
+
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int"))
+    spread = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(meet, "key binary, doc_id long")
+
+
+def _suspects(documents: DataFrame, limits: DataFrame, n_limits: int) -> DataFrame:
+    n_shards = max(1, n_limits // SHARD_KEYS)
+    return screened(line_keys(documents), materialize(build_filters(limits, n_shards), "line-filters"), n_shards, n_limits)
 
 
 def clean(documents: DataFrame, drops: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -224,60 +247,125 @@ def dedup_lines(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 
 class LineIndex:
-    """Line references kept in a folder, so that documents can come and go.
+    """Line references and filters kept in a folder, so that documents can come and go.
 
-    insert() and delete() take (doc_id, text) rows; delete() takes the texts as they were inserted. Each writes a new
-    version of the touched shards' references; a shard's filter is updated key by key as counts cross the limit. Shards
-    are partitions of the table, so a change reads and writes only the shards that its lines fall into.
+    insert() and delete() take (doc_id, text) rows; delete() takes the texts as they were inserted. Keys are dealt to shards.
+    A change writes new versions of the references and the filters of the shards that its lines fall into, and of no others;
+    then it names them in a manifest, so a change that fails leaves the index as it was, and an index can be opened again.
+    A filter takes and loses keys as their counts cross the limit, and is laid out anew when it has outgrown its capacity.
     """
 
-    SCHEMA = "key binary, doc_id long, shard int"
+    REFERENCES = "key binary, doc_id long, shard int"
+    FILTERS = "shard int, cuckoo binary, n_keys long"
 
     def __init__(self, spark: SparkSession, path: str, n_shards: int = 16):
-        self.spark, self.path, self.n_shards, self.version = spark, path, n_shards, 0
-        self.filters: dict[int, CuckooFilter] = {}
-        spark.createDataFrame([], self.SCHEMA).write.mode("overwrite").parquet(self._at(0))
-
-    def _at(self, version: int) -> str:
-        return f"{self.path}/references-{version}"
-
-    def references(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self._at(self.version))
-
-    def _change(self, new: DataFrame, before: DataFrame, touched: DataFrame) -> None:
-        keys = touched.select("key").distinct()
-        old = droppable(reference_counts(before.join(keys, "key"), unique=False)).select("key", F.lit(True).alias("was"))
-        new.write.mode("overwrite").parquet(self._at(self.version + 1))
-        self.version += 1
-        now = droppable(reference_counts(self.references().join(keys, "key"), unique=False)).select("key", F.lit(True).alias("is"))
-        moved = old.join(now, "key", "full").where(F.col("was").isNull() | F.col("is").isNull()).select("key", "was", _shard(self.n_shards))
-        for row in moved.toLocalIterator():  # the keys that crossed the limit in this change
-            cuckoo = self.filters.setdefault(row["shard"], CuckooFilter(SHARD_KEYS))
-            h = int.from_bytes(bytes(row["key"])[:8], "little")
-            cuckoo.delete(h) if row["was"] else cuckoo.insert(h)
+        """A new index, or the one that stands at path; n_shards is a new one's."""
+        self.spark, self.path, self.version = spark, path, 0
+        self.n_shards, self.versions = n_shards, {}
+        found = self._manifests()
+        if found:
+            self.version = max(found)
+            self._read_manifest()
+        else:
+            self._write_manifest()
+
+    def _fs(self):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return where, where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _manifests(self) -> list[int]:
+        where, fs = self._fs()
+        if not fs.exists(where):
+            return []
+        names = [(x.getPath().getName(), x.getPath()) for x in fs.listStatus(where)]
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return [int(name.split("=")[1]) for name, at in names if name.startswith("version=") and fs.exists(done(at, "_SUCCESS"))]
+
+    def _read_manifest(self) -> None:
+        rows = self.spark.read.schema("n_shards int, shard int, at int").parquet(f"{self.path}/manifest/version={self.version}").collect()  # a row a shard
+        self.n_shards = rows[0]["n_shards"]
+        self.versions = {r["shard"]: r["at"] for r in rows if r["shard"] is not None}
+
+    def _write_manifest(self) -> None:
+        rows = [(self.n_shards, None, None), *((self.n_shards, k, v) for k, v in sorted(self.versions.items()))]
+        self.spark.createDataFrame(rows, "n_shards int, shard int, at int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/version={self.version}")
+
+    def _read(self, what: str, schema: str, shards: set[int] | None = None) -> DataFrame:
+        """The present rows of all shards, or of some."""
+        paths = [f"{self.path}/{what}/version={v}/shard={k}" for k, v in sorted(self.versions.items()) if shards is None or k in shards]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        found = self.spark.read.schema(f"{schema}, version int").option("basePath", f"{self.path}/{what}").parquet(*paths)
+        return found.select(*(c.split()[0] for c in schema.split(", ")))
+
+    def references(self, shards: set[int] | None = None) -> DataFrame:
+        return self._read("references", self.REFERENCES, shards)
+
+    def filters(self, shards: set[int] | None = None) -> DataFrame:
+        return self._read("filters", self.FILTERS, shards)
+
+    def _change(self, lines: DataFrame, joined) -> None:
+        """Write the touched shards anew: joined(their references, lines) are what they hold then."""
+        lines = materialize(lines.select("key", "doc_id", _shard(self.n_shards)).distinct(), "line-changes")
+        touched = {r["shard"] for r in lines.select("shard").distinct().collect()}  # n_shards at most
+        if not touched:
+            return
+        number, before = self.version + 1, self.references(touched)
+        # a file for every touched shard, empty ones too, so that each has a version to be read
+        marks = self.spark.createDataFrame([(None, None, k) for k in sorted(touched)], self.REFERENCES)
+        joined(before, lines).unionByName(marks).write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/references/version={number}")
+        was = droppable(reference_counts(before.where("key IS NOT NULL"), unique=False)).select("key", _shard(self.n_shards), F.lit(True).alias("was"))
+        fresh = self.spark.read.schema(self.REFERENCES).parquet(f"{self.path}/references/version={number}")
+        now = droppable(reference_counts(fresh.where("key IS NOT NULL"), unique=False)).select("key", _shard(self.n_shards), F.lit(True).alias("now"))
+        keys = was.join(now, ["key", "shard"], "full").unionByName(marks.select("key", "shard", F.lit(None).cast("boolean").alias("was"), F.lit(None).cast("boolean").alias("now")))
+        old = self.filters(touched)
+
+        def update(key: tuple, own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+            own = own[own["key"].notna()]
+            was, now = own["was"].notna().to_numpy(), own["now"].notna().to_numpy()
+            hashes = [int.from_bytes(bytes(k)[:8], "little") for k in own["key"]]
+            cuckoo = CuckooFilter.from_bytes(bytes(kept["cuckoo"].iloc[0])) if len(kept) else None
+            if cuckoo is None or now.sum() > cuckoo.capacity:
+                cuckoo = CuckooFilter(max(2 * int(now.sum()), 64))
+                for h, is_now in zip(hashes, now, strict=True):
+                    if is_now:
+                        cuckoo.insert(h)
+            else:
+                for h, a, b in zip(hashes, was, now, strict=True):
+                    if a and not b:
+                        cuckoo.delete(h)
+                    elif b and not a:
+                        cuckoo.insert(h)
+            return pd.DataFrame({"shard": [key[0]], "cuckoo": [cuckoo.to_bytes()], "n_keys": [int(now.sum())]})
+
+        made = keys.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(update, self.FILTERS)
+        made.write.mode("overwrite").partitionBy("shard").parquet(f"{self.path}/filters/version={number}")
+        self.version = number
+        self.versions |= dict.fromkeys(touched, number)
+        self._write_manifest()
 
     def insert(self, documents: DataFrame) -> None:
-        added = line_keys(rows_of(documents, "doc_id", "text")).select("key", "doc_id", _shard(self.n_shards))
-        before = self.references()
-        self._change(before.unionByName(added).distinct(), before, added)
+        self._change(line_keys(rows_of(documents, "doc_id", "text")), lambda before, lines: before.unionByName(lines).distinct())
 
     def delete(self, documents: DataFrame) -> None:
-        gone = line_keys(rows_of(documents, "doc_id", "text"))
-        before = self.references()
-        self._change(before.join(gone, ["key", "doc_id"], "left_anti"), before, gone)
+        on = lambda a, b: a["key"].eqNullSafe(b["key"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+        self._change(line_keys(rows_of(documents, "doc_id", "text")), lambda before, lines: before.alias("a").join(lines.alias("b"), on(before, lines), "left_anti"))
 
     def maybe_dropped(self, line: str) -> bool:
-        """Whether a filter lets the line through; False is certain."""
+        """Whether the filter of the line's shard lets it through; False is certain."""
         key = key_of(line.encode("utf-8", "surrogatepass"))
         if key is None:
             return False
-        h = np.array([int.from_bytes(xxhash.xxh3_128_digest(key)[:8], "little")], np.uint64)
-        return any(bool(c.contains(h)[0]) for c in self.filters.values())
+        asked = self.spark.createDataFrame([(bytearray(xxhash.xxh3_128_digest(key)), 0)], "key binary, doc_id long")
+        return not screened(asked, self.filters(), self.n_shards, 1).isEmpty()
 
     def clean(self, documents: DataFrame) -> DataFrame:
+        """The documents without the lines that the index's later ones keep: filters first, then the exact counts of what they let through."""
         docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
-        limits = droppable(reference_counts(self.references()))
-        held = line_keys(docs).join(limits, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
+        n_keys = self.filters().agg(F.coalesce(F.sum("n_keys"), F.lit(0))).first()[0]
+        suspects = screened(line_keys(docs), self.filters(), self.n_shards, n_keys)
+        limits = droppable(reference_counts(self.references().where("key IS NOT NULL"), unique=False))
+        held = suspects.join(limits, "key").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
         return clean(docs, held.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set("key").alias("drop")))
 
 

@@ -55,12 +55,33 @@ def test_index_is_reversible(spark, tmp_path):
     assert got(index.clean(frame(spark, first))) == naive(first)
     index.insert(frame(spark, second))
     assert got(index.clean(frame(spark, rows))) == naive(rows)
+    assert index.clean(frame(spark, rows)).sparkSession is spark and got(LineIndex(spark, str(tmp_path)).clean(frame(spark, rows))) == naive(rows)  # opened again
     index.delete(frame(spark, second))
     assert got(index.clean(frame(spark, first))) == naive(first)
     held = Counter(k for d in {d for d, _ in first} for k in {key(x) for e, t in first if e == d for x in (t or "").split("\n") if len(key(x)) >= 20})
     assert all(index.maybe_dropped(k) for k, n in held.items() if n >= 3)
 
 
+def test_queries_and_index_ask_the_filters(spark, tmp_path, monkeypatch):
+    """Lines reach the exact counts through the filters alone: with filters that let nothing through, nothing goes."""
+    rows = [(d, "the very same line for all of them\nand another one") for d in range(5)]
+    docs = frame(spark, rows)
+    index = LineIndex(spark, str(tmp_path), 2)
+    index.insert(docs)
+    dropped = lambda df: sum(r["n_dropped"] for r in df.collect())
+    assert dropped(dedup_lines(docs)) == dropped(index.clean(docs)) == 4
+    monkeypatch.setattr(line_dedup, "screened", lambda lines, *_: lines.limit(0))
+    assert dropped(dedup_lines(docs)) == dropped(index.clean(docs)) == 0
+
+
+def test_changes_touch_their_shards_alone(spark, tmp_path):
+    index = LineIndex(spark, str(tmp_path), 32)
+    index.insert(frame(spark, [(d, "\n".join(f"a line of some length, number {k}" for k in range(200))) for d in range(3)]))
+    index.insert(frame(spark, [(9, "one line alone comes with this document")]))
+    assert sorted(index.versions.values()).count(2) == 1 and len(index.versions) == 32
+    assert index.filters().agg({"n_keys": "sum"}).first()[0] == 200
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
