@@ -195,6 +195,13 @@ def _least_shared(n: str):
     return F.greatest(F.lit(1), F.floor((partner * SPARE_PERCENT + 99) / 100))
 
 
+def _ranges(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The values at the places of all ranges, one after another."""
+    size = end - begin
+    total = np.cumsum(size)
+    return values[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(begin - total + size, size)]
+
+
 class PrefixTree:
     """Sets as paths of rising numbers, equal beginnings shared; chains without branches are one node."""
 
@@ -241,7 +248,10 @@ class PrefixTree:
         kids: list[list[int]] = [[] for _ in range(len(parent) + 1)]
         for node, up in enumerate(parent):
             kids[up + 1].append(node)
-        self.kids = [np.array(x, np.int64) for x in kids]
+        self.tops = np.array(kids[0], np.int64)
+        self.kid_flat = np.array([k for own_kids in kids[1:] for k in own_kids], np.int64)
+        self.kid_start = np.concatenate([[0], np.cumsum([len(x) for x in kids[1:]])]).astype(np.int64)
+        self.n_own = np.array([len(x) for x in own], np.int64)
         self.depth = np.zeros(len(parent), np.int64)
         for node in range(len(parent)):
             self.depth[node] = self.high[node] - self.low[node] + (self.depth[parent[node]] if parent[node] >= 0 else 0)
@@ -250,7 +260,8 @@ class PrefixTree:
         """Sets that link with the query, and how many nodes were entered. room: scratch, false for every number, true for none."""
         n, out, entered = len(query), [], 0
         room[query] = True
-        front, overlap = self.kids[0], np.zeros(len(self.kids[0]), np.int64)
+        front = self.tops
+        overlap = np.zeros(len(front), np.int64)
         while len(front):
             fits = (100 * self.most[front] >= PERCENT * n) & (100 * n >= PERCENT * self.least[front])
             front, overlap = front[fits], overlap[fits]
@@ -259,25 +270,28 @@ class PrefixTree:
             entered += len(front)
             size = self.high[front] - self.low[front]
             ends = np.cumsum(size)
-            at = np.arange(int(ends[-1])) + np.repeat(self.low[front] - ends + size, size)
-            hits = np.concatenate([[0], np.cumsum(room[self.flat[at]])])
+            hits = np.concatenate([[0], np.cumsum(room[_ranges(self.flat, self.low[front], self.high[front])])])
             overlap = overlap + hits[ends] - hits[ends - size]
             after = n - np.searchsorted(query, self.flat[self.high[front] - 1], "right")
             shortest = np.maximum(self.least[front], self.depth[front])
             most = overlap + np.minimum(after, self.most[front] - self.depth[front])
             stays = (100 + PERCENT) * most >= PERCENT * (n + shortest)
-            for node, shared in zip(front[stays].tolist(), overlap[stays].tolist(), strict=True):
-                for y in self.own[node]:
-                    if 100 * shared >= PERCENT * (n + int(self.sizes[y]) - shared):
-                        out.append(y)
-            kids = [self.kids[k + 1] for k in front[stays].tolist()]
-            overlap = np.repeat(overlap[stays], [len(k) for k in kids])
-            front = np.concatenate(kids) if kids else np.zeros(0, np.int64)
+            front, overlap = front[stays], overlap[stays]
+            # sets that end here are of the node's depth
+            for node in front[(self.n_own[front] > 0) & ((100 + PERCENT) * overlap >= PERCENT * (n + self.depth[front]))].tolist():
+                out += self.own[node]
+            front, overlap = _ranges(self.kid_flat, self.kid_start[front], self.kid_start[front + 1]), np.repeat(overlap, self.kid_start[front + 1] - self.kid_start[front])
         room[query] = False
         return out, entered
 
 
-def join_cell(ids: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, asking: np.ndarray, at_home: np.ndarray, copies: np.ndarray) -> tuple[list, list, list]:
+def tree_finder(paths: list[np.ndarray], n_numbers: int):
+    """Which of the paths link with a query: their prefix tree, walked."""
+    tree, room = PrefixTree(paths), np.zeros(n_numbers, bool)
+    return lambda query: tree.linked(query, room)[0]
+
+
+def join_cell(ids: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, asking: np.ndarray, at_home: np.ndarray, copies: np.ndarray, finder=tree_finder) -> tuple[list, list, list]:
     """Of one cell: (set, the least set it is connected with here, its links found here). sets: rare shingles first.
 
     A pair of one home is found from both its sides, and each side counts the other; a guest's pair is found once, and counts for both.
@@ -290,31 +304,26 @@ def join_cell(ids: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, askin
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     paths = [np.sort(p) for p in np.split(place[inverse], cuts)]
     holds = np.flatnonzero(stored)
-    tree, room = PrefixTree([paths[i] for i in holds]), np.zeros(len(numbers), bool)
-    up = list(range(len(ids)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
+    find = finder([paths[i] for i in holds], len(numbers))
+    least = np.argsort(np.argsort(ids))  # each member's group by the rank of its least id; members of a group agree at all times
     links = np.zeros(len(ids), np.int64)
     for q in np.flatnonzero(asking).tolist():
-        for y in holds[tree.linked(paths[q], room)[0]].tolist():
-            if ids[y] == ids[q]:
-                continue
-            links[q] += copies[y]
-            if not at_home[q]:
-                links[y] += copies[q]
-            a, b = top(q), top(y)
-            if a != b:
-                up[max(a, b, key=lambda i: ids[i])] = min(a, b, key=lambda i: ids[i])
-    hit = [i for i in range(len(ids)) if links[i]]
-    return [int(ids[i]) for i in hit], [int(ids[top(i)]) for i in hit], [int(links[i]) for i in hit]
-
-
-def _cells(members: DataFrame, n_groups: int) -> DataFrame:
+        hits = holds[np.array(find(paths[q]), np.int64)]
+        hits = hits[ids[hits] != ids[q]]
+        if not len(hits):
+            continue
+        links[q] += copies[hits].sum()
+        if not at_home[q]:
+            links[hits] += copies[q]
+        groups = np.unique(np.append(least[hits], least[q]))
+        if len(groups) > 1:  # once for each group that is joined, at most as often as there are members
+            least[np.isin(least, groups[1:])] = groups[0]
+    names = np.sort(ids)
+    hit = np.flatnonzero(links)
+    return ids[hit].tolist(), names[least[hit]].tolist(), links[hit].tolist()
+
+
+def _cells(members: DataFrame, n_groups: int, finder=tree_finder) -> DataFrame:
     """(id, root, links) rows of all cells of members (id, n, tokens, copies, home: its own, to: the home it goes to)."""
     per = members.groupBy(F.col("to").alias("cell_to")).agg(F.sum(F.when(F.col("home") == F.col("to"), 1).otherwise(0)).alias("held"), F.count(F.lit(1)).alias("asked"))
     per = per.where("held > 0 AND asked > 1").select("cell_to", F.ceil(F.col("held") / CELL).alias("rows"), F.ceil(F.col("asked") / CELL).alias("cols"))
@@ -338,14 +347,14 @@ def _cells(members: DataFrame, n_groups: int) -> DataFrame:
         flags = [part[k].to_numpy() for k in ("held", "asks", "at_home", "copies")]
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b - a > 1:
-                for to, new in zip(out, join_cell(ids[a:b], [np.frombuffer(t, np.uint64) for t in tokens[a:b]], *(f[a:b] for f in flags)), strict=True):
+                for to, new in zip(out, join_cell(ids[a:b], [np.frombuffer(t, np.uint64) for t in tokens[a:b]], *(f[a:b] for f in flags), finder), strict=True):
                     to += new
         return pd.DataFrame(dict(zip(("id", "root", "links"), (np.array(x, np.int64) for x in out), strict=True)))
 
     return spread.groupBy("part").applyInPandas(work, "id long, root long, links long")
 
 
-def shingle_components(documents: DataFrame, sets_of=shingle_sets) -> DataFrame:
+def shingle_components(documents: DataFrame, sets_of=shingle_sets, finder=tree_finder) -> DataFrame:
     """Per row of documents, by sets_of() of its text: doc_id, n_shingles, component_id (least doc_id connected by links), n_links (rows it is linked with), text_hash (xxhash64 of the text)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
     tasks = input_tasks(docs)
@@ -414,7 +423,7 @@ def shingle_components(documents: DataFrame, sets_of=shingle_sets) -> DataFrame:
     guests = homed.select("id", "n", "tokens", "home").mapInArrow(heads, _DEALT).groupBy("bucket").applyInPandas(meet, "id long, n long, to long, c long")
     guests = guests.groupBy("id", "to").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(F.col("c") >= _least_shared("n")).select("id", "to")
     members = homed.withColumn("to", F.col("home")).unionByName(homed.join(guests, "id"))
-    found = materialize(_cells(members, max(4, tasks, n_alive // CELL)), "shingle-links")
+    found = materialize(_cells(members, max(4, tasks, n_alive // CELL), finder), "shingle-links")
     roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     grouped = sets.join(roots, sets["id"] == roots["node"], "left").join(links, "id", "left")

@@ -6,7 +6,8 @@ A text without a full chain after any anchor takes every word for an anchor, and
 
 Two sets can only be alike to a degree t if their lengths' ratio is at least t. `length_partition` cuts lengths so that
 alike sets are in the same or neighbouring partitions, and `pruned_jaccard` leaves a pair as soon as lengths, or what is
-left of either set, can't reach t.
+left of either set, can't reach t. Pairs are compared that way: a text with its edited form and with the next text, for any
+likeness above 0; and, for 0.75, what meets in a cell of `near_duplicates`, whose plan is that of the join of word shingles.
 
 Defined cases: a null or empty text, or one of punctuation alone, has the empty fingerprint; two empty ones are alike to
 the degree 1, an empty and another to 0; rows that share a doc_id follow each other by text; a null doc_id comes last;
@@ -121,6 +122,37 @@ def length_partition(n: int, threshold: float = THRESHOLD) -> int:
     return 0 if n < 1 else 1 + int(math.log(n) / -math.log(threshold) + 1e-12)
 
 
+def compare(a: np.ndarray, b: np.ndarray, least: float | None = None) -> float:
+    """Likeness of two fingerprints, 0 where it is below `least`: by their partitions first, then pruned.
+
+    Without `least`, the smallest likeness above 0 that sets of these sizes can have, so that the value is exact.
+    """
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    least = 1 / (len(a) + len(b)) if least is None else least
+    if abs(length_partition(len(a), least) - length_partition(len(b), least)) > 1:
+        return 0.0
+    return pruned_jaccard(a, b, least) or 0.0
+
+
+def spot_finder(sets: list[np.ndarray], n_numbers: int):
+    """Which of the sets are alike to a query. They are indexed by length partition and rarest signatures (the greatest
+    numbers); a query looks its own rarest up in its partition and the neighbours, and what it meets is compared, pruned."""
+    rare = lambda s: s[-(len(s) - math.ceil(THRESHOLD * len(s) - 1e-9) + 1) :].tolist()
+    index: dict[tuple[int, int], list[int]] = {}
+    for k, own in enumerate(sets):
+        part = length_partition(len(own))
+        for x in rare(own):
+            index.setdefault((part, x), []).append(k)
+
+    def find(query: np.ndarray) -> list[int]:
+        part = length_partition(len(query))
+        met = {k for x in rare(query) for p in (part - 1, part, part + 1) for k in index.get((p, x), ())}
+        return [k for k in met if pruned_jaccard(query, sets[k]) is not None]
+
+    return find
+
+
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long, length_partition int"
 
 
@@ -128,7 +160,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles (signatures), component_id, n_links of each row by fingerprints that are alike to 0.75 or more."""
     from .shingle_join import shingle_components
 
-    return shingle_components(documents, signature_sets)
+    return shingle_components(documents, signature_sets, spot_finder)
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -184,7 +216,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             prints = signature_sets(some + edited)
             plain, changed = prints[: len(some)], prints[len(some) :]
             for k in range(b - a):
-                out.append((doc_ids[a + k], len(some[k]), hashlib.sha256(edited[k].encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(plain[k]), fingerprint(changed[k]), likeness(plain[k], changed[k]), likeness(plain[k], plain[k + 1]), len(plain[k]), length_partition(len(plain[k]))))
+                out.append((doc_ids[a + k], len(some[k]), hashlib.sha256(edited[k].encode("utf-8", "surrogatepass")).hexdigest(), fingerprint(plain[k]), fingerprint(changed[k]), compare(plain[k], changed[k]), compare(plain[k], plain[k + 1]), len(plain[k]), length_partition(len(plain[k]))))
         return pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
     return docs.mapInArrow(deal, "doc_id long, text string, part long, guest boolean").groupBy("part").applyInPandas(work, RESULT)

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from ripplework.llm.spotsigs import ANCHORS, fingerprints, length_partition, likeness, near_duplicates, pruned_jaccard, signature_sets, signatures_of
+from ripplework.llm import spotsigs
+from ripplework.llm.spotsigs import ANCHORS, compare, fingerprints, length_partition, likeness, near_duplicates, pruned_jaccard, signature_sets, signatures_of
 
 MARKS = ".,;:!?()[]{}\"'|<>#*$%&=-_/\\"
 
@@ -79,6 +80,19 @@ def test_pruning_loses_nothing():
             assert abs(length_partition(len(a)) - length_partition(len(b))) <= 1
 
 
+def test_comparisons_are_partitioned_and_pruned(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.int64)) for _ in range(60)]
+    sets += [np.unique(np.append(s[2:], 500)) for s in sets]
+    find = spotsigs.spot_finder(sets, 600)
+    for q, own in enumerate(sets):
+        assert sorted(find(own)) == [k for k, s in enumerate(sets) if likeness(own, s) >= 0.75]
+        assert compare(own, sets[(q + 60) % 120]) == likeness(own, sets[(q + 60) % 120])
+    assert compare(sets[0], sets[60], 0.999) == 0
+    monkeypatch.setattr(spotsigs, "pruned_jaccard", lambda *_: None)
+    assert not any(find(s) for s in sets) and compare(sets[0], sets[60]) == 0
+
+
 def test_fingerprints_read_back():
     sets = signature_sets(["the quick brown fox of the lazy dog is the one", ""])
     from ripplework.llm.spotsigs import fingerprint
