@@ -31,9 +31,10 @@ import pyarrow as pa
 import regex
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import input_tasks, map_chunks, rows_of, text_of
+from .common import input_tasks, map_chunks, materialize, rows_of, text_of
 
 VOCABULARY = "byte_bpe_50k.json"
 BLOCK_BYTES = 16 << 20
@@ -175,21 +176,24 @@ def _number(words: Words, texts: list[str | None]) -> tuple[list[str], list[np.n
 
 
 def _blocks(vocabulary: str, n_buckets: int):
-    """Row makers of the two sides. Both see the same batches, so that a block has the same words and the same name in each."""
+    """Row makers of the two sides. Both read the same stored batches, so that a block has the same words and the same name in
+    each. Its name is its task, its number there and a digest of its words: equal blocks stay apart, and blocks that should
+    have been equal and aren't don't meet, which fails the job."""
 
-    def numbered(batch: pa.RecordBatch, words: Words) -> tuple[bytes, list[bytes], list[np.ndarray]]:
+    def numbered(batch: pa.RecordBatch, words: Words, nth: Iterator[int]) -> tuple[bytes, list[bytes], list[np.ndarray]]:
         distinct, coded = _number(words, batch.column("text").to_pylist())
         raw = [w.encode("utf-8", "surrogatepass") for w in distinct]
-        name = hashlib.md5(len(raw).to_bytes(8, "little"))
+        task = TaskContext.get().partitionId()
+        name = hashlib.md5(np.array([len(raw), task, next(nth)], "<i8").tobytes())
         for w in raw:
             name.update(len(w).to_bytes(4, "little") + w)
         return name.digest(), raw, coded
 
     def words_side():
-        words = Words(vocabulary)
+        words, nth = Words(vocabulary), count()
 
         def work(batch: pa.RecordBatch) -> dict:
-            block, raw, _ = numbered(batch, words)
+            block, raw, _ = numbered(batch, words, nth)
             dealt: dict[int, tuple[list[int], list[bytes]]] = {}
             for i, w in enumerate(raw):
                 at, own = dealt.setdefault(xxhash.xxh3_64_intdigest(w) % n_buckets, ([], []))
@@ -202,10 +206,10 @@ def _blocks(vocabulary: str, n_buckets: int):
         return work
 
     def documents_side():
-        words = Words(vocabulary)
+        words, nth = Words(vocabulary), count()
 
         def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            block, _, coded = numbered(batch, words)
+            block, _, coded = numbered(batch, words, nth)
             sizes = [len(c) for c in coded]
             yield {"block": [block], "doc_ids": [batch.column("doc_id").to_pylist()], "sizes": [sizes], "numbers": [_squeeze(np.concatenate(coded))]}
 
@@ -222,7 +226,6 @@ def word_table(documents: DataFrame, vocabulary: str = VOCABULARY, n_buckets: in
 
     def encode(part: pd.DataFrame) -> pd.DataFrame:
         words = Words(vocabulary)
-        part = part.drop_duplicates(["block"])  # blocks of one name hold the same words
         unpacked = [_unpack(n, x) for n, x in zip(part["sizes"], part["words"], strict=True)]
         distinct = list({w for own in unpacked for w in own})
         table: dict[bytes, list[int]] = {}
@@ -244,6 +247,8 @@ def encode_decode(documents: DataFrame, vocabulary: str = VOCABULARY, schema: st
     """Per row: doc_id and what the schema names of n_tokens, ids_sha256, decoded_sha256, ids (array<int>), decoded (string)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
     names = {f.split()[0] for f in schema.split(", ")}
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = materialize(docs, "bpe-documents")  # rows that were shuffled can come in another order when they are read again
     table = word_table(docs, vocabulary)
     numbered = map_chunks(docs, "block binary, doc_ids array<long>, sizes array<int>, numbers binary", _blocks(vocabulary, 1)[1], limit=BLOCK_BYTES)
 

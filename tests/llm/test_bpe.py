@@ -25,6 +25,18 @@ def test_words_encode_as_whole_texts(text):
     assert [i for ids in WORDS.encode(split) for i in ids] == expected(text)[0]
 
 
+def test_equal_rows_are_dealt(spark):
+    """Equal blocks have names of their own: their rows aren't one task's work."""
+    from ripplework.llm.bpe import _blocks
+    from ripplework.llm.common import map_chunks
+
+    df = spark.range(0, 4000, 1, 4).selectExpr("7L AS doc_id", "repeat('same words again ', 400) AS text")
+    blocks = map_chunks(df, "block binary, doc_ids array<long>, sizes array<int>, numbers binary", _blocks("byte_bpe_50k.json", 1)[1], limit=1 << 20)
+    assert blocks.select("block").distinct().count() == blocks.count() >= 8
+    got = encode_decode(df).groupBy("doc_id", "n_tokens", "ids_sha256").count().collect()
+    assert len(got) == 1 and got[0]["count"] == 4000
+
+
 def test_documents(spark):
     texts = [*ODD, None, ODD[4], "extra words, it is " * 50]
     rows = [(i % 17 if i != 3 else None, t, "x", 1) for i, t in enumerate(texts)]
