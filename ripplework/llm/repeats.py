@@ -1,17 +1,20 @@
 """Removal of byte passages that stand anywhere else, by depth-limited most-significant-digit passes over suffixes.
 
-Only the first WINDOW bytes of a suffix matter: suffixes that agree on them are the repeated windows. The passes, none of
-which writes all suffixes down:
+Only the first WINDOW bytes of a suffix matter: suffixes that agree on them are the repeated windows. Writing a digit of
+every suffix down would move many times the input, so the first pass takes few suffixes:
 
-1. The first digit of a window is its least GRAM-byte substring (by hash; leftmost of equals) and the place of it.
-   Neighbouring windows mostly share it, so they travel as one run, dealt by the digit. A digit that only one run has ends
-   there: its windows stand nowhere else.
+1. An anchor is a place whose GRAM leading bytes are least (by hash; leftmost of equals) among those that lie in one window
+   of WINDOW bytes. Every window holds one, and equal windows hold it at the same place. Only the anchors' suffixes are
+   sorted, by these leading bytes as one digit; the windows of an anchor go with it as one run. A digit that only one run
+   has ends there: its windows stand nowhere else.
 2. The second digit is the run's bytes as a whole. Runs that agree are equal window by window: all their windows repeat.
-3. What is left are runs that share the first digit with others but not all their bytes, at the edges of passages. Only
-   their windows are sorted to full depth, one by one; equal groups of two or more are repeats.
+3. What is left are runs that share the first digit with others but not all their bytes, at the edges of passages. All
+   suffixes that start in them are dealt by the digit of their leading WINDOW / 2 bytes and sorted by it and by the digit
+   of the next WINDOW / 2, which is the full depth; equal groups of two or more are repeats.
 
-Equal windows agree on every digit wherever they stand, so nothing is missed; groups of the last pass are told apart by
-80 bits. Equal texts are one text with a count. Any byte under a repeated window goes.
+Equal windows agree on every digit wherever they stand, so nothing is missed. Digits are 64-bit hashes of their bytes, as no
+order among unequal ones matters; groups of the last pass agree on two of them. Texts are named by 128 bits; equal texts
+are one text with a count. Any byte under a repeated window goes.
 
 Defined cases: a null or empty text has no bytes; texts under WINDOW bytes stay whole; rows that share a doc_id are
 separate documents; a null doc_id passes through; extra columns are ignored; an empty table gives an empty result.
@@ -67,6 +70,41 @@ def _segments(raws: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, n
     return np.array(text, np.int64), np.array(begin, np.int64), np.array(end, np.int64)
 
 
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """For each row, its rank (from 0, in no order of note) among the rows that agree with it on all keys."""
+    order = np.lexsort(keys)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    at = np.arange(len(order))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return rank
+
+
+def _numbered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of text names (rows of two words), equal for equal names, and the name of each number."""
+    if not len(names):
+        return np.zeros(0, np.int64), names
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (names[order][1:] != names[order][:-1]).any(1)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, names[order][new]
+
+
+def deal_digits(digit: np.ndarray, rest: np.ndarray, names: np.ndarray, n_buckets: int, **columns: np.ndarray) -> dict[str, list]:
+    """Rows for the buckets of their first digit. Of rows that agree on all digits, two are enough there, as they tell all
+    others; the rest are known to repeat, and go to their text's bucket (known). So a passage that many documents share
+    isn't one bucket's work: what it gets are two rows a block."""
+    bucket = ((digit >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+    known = _groups(rest, digit) >= 2
+    bucket[known] = (names[known, 0] % np.uint64(n_buckets)).astype(np.int64)
+    parts = [deal(bucket[m], one=digit[m], two=rest[m], tid=names[m], **{k: v[m] for k, v in columns.items()}) for m in (~known, known)]
+    flags = [[k] * len(p["bucket"]) for k, p in enumerate(parts)]
+    return {k: parts[0][k] + parts[1][k] for k in parts[0]} | {"known": [bool(x) for f in flags for x in f]}
+
+
 def find_runs(raws: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Text number, first window (in its text), number of windows, first digit, second digit of all runs of the texts."""
     found: list[tuple[np.ndarray, ...]] = []
@@ -94,7 +132,7 @@ def _shared_runs(docs: DataFrame, n_buckets: int, window: int, gram: int) -> Dat
     """(tid, full: bytes, open: bytes): each text's runs (first, count as 32-bit numbers) that repeat whole, and those that may in part."""
 
     def make():
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def work(batch: pa.RecordBatch) -> dict:
             raws, tids = [], []
@@ -104,14 +142,19 @@ def _shared_runs(docs: DataFrame, n_buckets: int, window: int, gram: int) -> Dat
                     raws.append(_raw(text))
                     tids.append(tid)
             own, first, count, one, two = find_runs(raws, window, gram)
-            names = np.array(tids, np.int64)[own] if tids else np.zeros(0, np.int64)
-            return deal(((one >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), one=one, two=two, tid=names, first=first.astype(np.uint32), count=count.astype(np.uint32))
+            names = np.frombuffer(b"".join(tids), "<u8").reshape(-1, 2)[own]
+            return deal_digits(one, two, names, n_buckets, first=first.astype(np.uint32), count=count.astype(np.uint32))
 
         return work
 
     def sort_out(part: pd.DataFrame) -> pd.DataFrame:
-        one, two, tid = _joined(part, "one", "<u8"), _joined(part, "two", "<u8"), _joined(part, "tid", "<i8")
+        part = part.sort_values("known", kind="stable")
+        one, two = _joined(part, "one", "<u8"), _joined(part, "two", "<u8")
+        tid, texts = _numbered(_joined(part, "tid", "<u8").reshape(-1, 2))
         first, count = _joined(part, "first", "<u4"), _joined(part, "count", "<u4")
+        n = len(_joined(part[~part["known"]], "one", "<u8"))
+        told = tid[n:], np.stack([first[n:], count[n:]], 1)
+        one, two, tid, first, count = one[:n], two[:n], tid[:n], first[:n], count[:n]
         order = np.lexsort((first, tid, two, one))
         one, two, tid, first, count = one[order], two[order], tid[order], first[order], count[order]
         new = np.ones(len(one), bool)  # a text can come from several tasks
@@ -135,16 +178,15 @@ def _shared_runs(docs: DataFrame, n_buckets: int, window: int, gram: int) -> Dat
         opens |= full & lead & has_open[group]
         pairs = np.stack([first, count], 1) if len(one) else np.zeros((0, 2), np.uint32)
         out: dict[int, list] = {}
-        for k, mask in enumerate((full, opens)):
-            at = np.flatnonzero(mask)
-            at = at[np.argsort(tid[at], kind="stable")]
-            names, begin = np.unique(tid[at], return_index=True)
-            for name, own in zip(names.tolist(), np.split(pairs[at], begin[1:]), strict=True) if len(names) else ():
+        for k, (whose, own_pairs) in enumerate(((np.append(tid[full], told[0]), np.concatenate([pairs[full], told[1]])), (tid[opens], pairs[opens]))):
+            at = np.argsort(whose, kind="stable")
+            names, begin = np.unique(whose[at], return_index=True)
+            for name, own in zip(names.tolist(), np.split(own_pairs[at], begin[1:]), strict=True) if len(names) else ():
                 out.setdefault(name, [b"", b""])[k] = own.tobytes()
-        return pd.DataFrame({"tid": list(out), "full": [x[0] for x in out.values()], "open": [x[1] for x in out.values()]}).astype({"tid": "int64"})
+        return pd.DataFrame({"tid": [texts[k].tobytes() for k in out], "full": [x[0] for x in out.values()], "open": [x[1] for x in out.values()]})
 
-    dealt = map_chunks(docs, "bucket int, one binary, two binary, tid binary, first binary, count binary", make, limit=BLOCK_BYTES)
-    found = dealt.groupBy("bucket").applyInPandas(sort_out, "tid long, full binary, open binary")
+    dealt = map_chunks(docs, "bucket int, one binary, two binary, tid binary, first binary, count binary, known boolean", make, limit=BLOCK_BYTES)
+    found = dealt.groupBy("bucket").applyInPandas(sort_out, "tid binary, full binary, open binary")
     return found.groupBy("tid").agg(F.collect_list("full").alias("full"), F.collect_list("open").alias("open"))
 
 
@@ -152,10 +194,10 @@ def _repeated_windows(texts: DataFrame, n_buckets: int, window: int) -> DataFram
     """(tid, at: bytes): starts of windows in open runs that stand twice or more. texts: tid, text, open."""
 
     def make():
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def work(batch: pa.RecordBatch) -> dict:
-            keys, checks, names, starts = [], [], [], []
+            leads, rests, names, starts = [], [], [], []
             for tid, text, opens in zip(batch.column("tid").to_pylist(), batch.column("text").to_pylist(), batch.column("open").to_pylist(), strict=True):
                 spans = np.frombuffer(b"".join(opens or ()), "<u4").reshape(-1, 2).astype(np.int64)
                 if not len(spans) or tid in seen:
@@ -164,39 +206,41 @@ def _repeated_windows(texts: DataFrame, n_buckets: int, window: int) -> DataFram
                 rolling = Rolling(np.frombuffer(_raw(text), np.uint8))
                 total = np.cumsum(spans[:, 1])
                 at = np.arange(int(total[-1])) + np.repeat(spans[:, 0] - total + spans[:, 1], spans[:, 1])
-                keys.append(rolling.ranges(at, at + window))
-                checks.append((rolling.ranges(at, at + window // 2) >> np.uint64(48)).astype(np.uint16))
-                names.append(np.full(len(at), tid, np.int64))
+                leads.append(rolling.ranges(at, at + window // 2))
+                rests.append(rolling.ranges(at + window // 2, at + window))
+                names.append(np.tile(np.frombuffer(tid, "<u8"), (len(at), 1)))
                 starts.append(at.astype(np.uint32))
-            if not keys:
-                return {k: [] for k in ("bucket", "key", "check", "tid", "at")}
-            key = np.concatenate(keys)
-            return deal(((key >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64), key=key, check=np.concatenate(checks), tid=np.concatenate(names), at=np.concatenate(starts))
+            if not leads:
+                return {k: [] for k in ("bucket", "one", "two", "tid", "at", "known")}
+            return deal_digits(np.concatenate(leads), np.concatenate(rests), np.concatenate(names), n_buckets, at=np.concatenate(starts))
 
         return work
 
     def sort_out(part: pd.DataFrame) -> pd.DataFrame:
-        key, check = _joined(part, "key", "<u8"), _joined(part, "check", "<u2")
-        tid, at = _joined(part, "tid", "<i8"), _joined(part, "at", "<u4")
-        order = np.lexsort((at, tid, check, key))
-        key, check, tid, at = key[order], check[order], tid[order], at[order]
-        same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-        new = np.ones(len(key), bool)
+        part = part.sort_values("known", kind="stable")
+        lead, rest, at = _joined(part, "one", "<u8"), _joined(part, "two", "<u8"), _joined(part, "at", "<u4")
+        tid, texts = _numbered(_joined(part, "tid", "<u8").reshape(-1, 2))
+        n = len(_joined(part[~part["known"]], "at", "<u4"))
+        told = tid[n:], at[n:]
+        order = np.lexsort((at[:n], tid[:n], rest[:n], lead[:n]))
+        lead, rest, tid, at = lead[order], rest[order], tid[order], at[order]
+        same = (lead[1:] == lead[:-1]) & (rest[1:] == rest[:-1])
+        new = np.ones(len(lead), bool)
         new[1:] = ~(same & (tid[1:] == tid[:-1]) & (at[1:] == at[:-1]))
-        key, check, tid, at = key[new], check[new], tid[new], at[new]
-        same = (key[1:] == key[:-1]) & (check[1:] == check[:-1])
-        twice = np.zeros(len(key), bool)
+        lead, rest, tid, at = lead[new], rest[new], tid[new], at[new]
+        same = (lead[1:] == lead[:-1]) & (rest[1:] == rest[:-1])
+        twice = np.zeros(len(lead), bool)
         twice[1:] |= same
         twice[:-1] |= same
-        tid, at = tid[twice], at[twice]
+        tid, at = np.append(tid[twice], told[0]), np.append(at[twice], told[1])
         order = np.lexsort((at, tid))
         tid, at = tid[order], at[order]
         names, begin = np.unique(tid, return_index=True)
         parts = [x.tobytes() for x in np.split(at, begin[1:])] if len(names) else []
-        return pd.DataFrame({"tid": names.astype(np.int64), "at": parts})
+        return pd.DataFrame({"tid": [texts[k].tobytes() for k in names.tolist()], "at": parts})
 
-    dealt = map_chunks(texts, "bucket int, key binary, check binary, tid binary, at binary", make, limit=BLOCK_BYTES)
-    return dealt.groupBy("bucket").applyInPandas(sort_out, "tid long, at binary").groupBy("tid").agg(F.collect_list("at").alias("at"))
+    dealt = map_chunks(texts, "bucket int, one binary, two binary, tid binary, at binary, known boolean", make, limit=BLOCK_BYTES)
+    return dealt.groupBy("bucket").applyInPandas(sort_out, "tid binary, at binary").groupBy("tid").agg(F.collect_list("at").alias("at"))
 
 
 def covered(n_bytes: int, full: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
@@ -214,7 +258,7 @@ def covered(n_bytes: int, full: np.ndarray, at: np.ndarray, window: int) -> np.n
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of what is removed, kept (binary)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("tid"))
+    docs = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tid"))
     n_buckets = max(MIN_BUCKETS, input_tasks(docs) // 2)
     shared = materialize(_shared_runs(docs.select("tid", "text"), n_buckets, window, gram), "repeat-runs")
     opens = shared.select(F.col("tid").alias("o_tid"), F.filter("open", lambda x: F.length(x) > 0).alias("open")).where(F.size("open") > 0)
