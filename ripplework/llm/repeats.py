@@ -258,7 +258,7 @@ def covered(n_bytes: int, full: np.ndarray, at: np.ndarray, window: int) -> np.n
 def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, starts and ends of what is removed, kept (binary)."""
     docs = rows_of(documents, "doc_id", "text").withColumn("text", text_of())
-    docs = docs.select("doc_id", "text", F.unhex(F.md5(F.col("text").cast("binary"))).alias("tid"))
+    docs = docs.select("doc_id", "text", F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(b"")).alias("tid"))
     n_buckets = max(MIN_BUCKETS, input_tasks(docs) // 2)
     shared = materialize(_shared_runs(docs.select("tid", "text"), n_buckets, window, gram), "repeat-runs")
     opens = shared.select(F.col("tid").alias("o_tid"), F.filter("open", lambda x: F.length(x) > 0).alias("open")).where(F.size("open") > 0)
