@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,18 @@ class Cell:
         return float(self.value)
 
 
+def _called(fn: Callable, kind: str):
+    """A function of a Row as one of Arrow batches of rows."""
+
+    def batch(rows: pd.DataFrame) -> pd.Series:
+        row = Row(*rows.columns)
+        whole = rows.astype(object).where(rows.notna(), None)
+        return pd.Series([fn(row(*x)) for x in whole.itertuples(index=False, name=None)], dtype=object)
+
+    batch.__annotations__ = {"rows": pd.DataFrame, "return": pd.Series}
+    return F.pandas_udf(batch, kind)
+
+
 class View:
     def __init__(self, node: Node):
         self.node = node
@@ -74,15 +87,17 @@ class View:
 
     # filters
 
-    def filter(self, what: Column | Callable | str | list[str] | dict, *value: object) -> View:
-        """Rows by a Column, a function of a Row, a field's truth, a field's value, a nested path's truth or value, or a shape."""
+    def filter(self, what: Column | Callable | str | list[str] | dict, *value: object, columns: list[str] | None = None) -> View:
+        """Rows by a Column, a function of a Row, a field's truth, a field's value, a nested path's truth or value, or a shape.
+
+        columns: what a function reads; it is called over Arrow batches of these alone.
+        """
         if isinstance(what, Column):
             return self._kept(lambda df: F.coalesce(what, F.lit(False)))
         if isinstance(what, dict):
             return self._kept(lambda df: P.matches(df, what))
         if callable(what):
-            test = F.udf(lambda row: bool(what(row)), "boolean")
-            return self._kept(lambda df: test(F.struct(*df.columns)))
+            return self._kept(lambda df: _called(lambda row: bool(what(row)), "boolean")(F.struct(*(columns or df.columns))))
         if value:
             return self._kept(lambda df: P.strictly_equal(df, what, value[0]))
         return self._kept(lambda df: P.truthy(df, what))
@@ -104,25 +119,28 @@ class View:
 
     # rows
 
-    def map(self, make: dict[str, Column] | Callable, schema: str | None = None, drop_null: bool = False) -> View:
-        """New columns beside key and order; a function of a Row needs the schema of what it returns (None drops the row)."""
+    def map(self, make: dict[str, Column] | Callable, schema: str | None = None, drop_null: bool = False, columns: list[str] | None = None) -> View:
+        """New columns beside key and order; a function of a Row (of some columns) needs the type of what it returns (None drops the row)."""
         stays = tuple(dict.fromkeys((*self.node.key, *self.node.order)))
 
-        def columns(df: DataFrame) -> DataFrame:
+        def made(df: DataFrame) -> DataFrame:
             out = df.select(*(c for c in stays if c not in make), *(e.alias(n) for n, e in make.items()))
             return out.dropna("any", subset=list(make)) if drop_null else out
 
         def rows(df: DataFrame) -> DataFrame:
-            called = F.udf(make, schema)
-            return df.select(*stays, called(F.struct(*df.columns)).alias("value")).where("value IS NOT NULL")
+            called = _called(make, schema)
+            return df.select(*stays, called(F.struct(*(columns or df.columns))).alias("value")).where("value IS NOT NULL")
 
-        return self._made(columns if isinstance(make, dict) else rows)
+        return self._made(made if isinstance(make, dict) else rows)
 
     def path(self, *names: str, key: object = None) -> View:
-        """A nested field as the column `value`; key: of one row alone."""
+        """A nested field as the column `value`; key: of one row alone, a tuple where several columns are the key."""
 
         def make(df: DataFrame) -> DataFrame:
-            some = df if key is None else df.where(F.col(self.node.key[0]) == F.lit(key))
+            some = df
+            if key is not None:
+                for name, part in zip(self.node.key, key if isinstance(key, tuple) else (key,), strict=True):
+                    some = some.where(F.col(name) == F.lit(part))
             return some.select(*self.node.key, P.field(list(names)).alias("value"))
 
         return self._made(make, order=self.node.key)

@@ -2,7 +2,10 @@
 
 A log row is (seq, type, key, value): type is update, insert or remove; key the row's key, null for the whole collection;
 value a struct of the row's fields. An update of an absent key inserts it; a removal of an absent key does nothing; a root
-removal clears, and what comes after it stands. A patch (type patch) changes the fields that are not null in value.
+removal clears, and what comes after it stands; a root update (null key, type update) clears too, and the rows of its own seq
+are the new collection. A patch (type patch) changes some fields: those that the log's column `fields` (array of names) lists,
+to null as well, or without such a list those that are not null in value. A name with dots sets a field inside a struct. A
+patch of an absent or removed key makes a row of its fields alone.
 
 diff() turns two states into the net change: remove, update, move, insert. Rows are told apart by key; a moved row is one
 that is in both states with a changed rank among those that are in both.
@@ -10,31 +13,108 @@ that is in both states with a changed rank among those that are in both.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VERBS = ("remove", "update", "move", "insert")
 
 
-def fold(base: DataFrame, log: DataFrame, key: str = "key") -> DataFrame:
-    """base (key, fields) after the log (seq, type, key, value: struct of the fields), by one aggregation over keys.
+def _leaves(df: DataFrame, names: list[str]) -> list[tuple[str, ...]]:
+    """Paths of the fields and, inside structs, of theirs."""
 
-    A patch goes onto what the last update or insert before it left.
-    """
+    def below(kind: T.DataType, path: tuple[str, ...]) -> list[tuple[str, ...]]:
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in below(f.dataType, (*path, f.name))]
+        return [path]
+
+    return [x for n in names for x in below(df.schema[n].dataType, (n,))]
+
+
+def _at(column: str, path: tuple[str, ...]) -> Column:
+    out = F.col(column)
+    for name in path:
+        out = out[name]
+    return out
+
+
+def fold(base: DataFrame, log: DataFrame, key: str = "key") -> DataFrame:
+    """base (key, fields) after the log (seq, type, key, value: struct of the fields[, fields: names that a patch sets]), by one aggregation over keys."""
     fields = [c for c in base.columns if c != key]
-    cleared = log.where(f"`{key}` IS NULL AND type = 'remove'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cleared"))
-    row = F.struct(*(F.col(f) for f in fields))
-    start = base.select(key, F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("type"), row.alias("value"))
-    every = start.unionByName(log.where(F.col(key).isNotNull()).select(key, F.col("seq").cast("long"), "type", F.struct(*(F.col(f"value.{f}").alias(f) for f in fields)).alias("value")))
-    live = every.join(F.broadcast(cleared), (F.col("seq") > F.col("_cleared")) | ((F.col("seq") == -1) & (F.col("_cleared") == -1)))
+    leaves = _leaves(base, fields)
+    listed = F.col("fields") if "fields" in log.columns else F.lit(None).cast("array<string>")
+    cleared = log.where(f"`{key}` IS NULL AND type IN ('remove', 'update')").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("_cleared"))
+    flat = lambda of: F.struct(*(of(path).alias(f"f{i}") for i, path in enumerate(leaves)))
+    start = base.select(key, F.lit(-1).cast("long").alias("seq"), F.lit("insert").alias("type"), flat(lambda p: _at(p[0], p[1:])).alias("value"), F.lit(None).cast("array<string>").alias("fields"))
+    # a removed row's old value is no part of what a later patch makes
+    held = flat(lambda p: F.when(F.col("type") != "remove", _at("value", p)))
+    every = start.unionByName(log.where(F.col(key).isNotNull()).select(key, F.col("seq").cast("long"), "type", held.alias("value"), listed.alias("fields")))
+    live = every.join(F.broadcast(cleared), F.col("seq") >= F.col("_cleared"))
     # the last whole write of each key, then its patches: for each field the last one that sets it
     whole = F.when(F.col("type") != "patch", F.col("seq"))
-    own = Window.partitionBy(key)
-    marked = live.withColumn("_last", F.max(whole).over(own)).where("_last IS NULL OR seq >= _last")
-    picks = [F.max_by(F.struct(F.col(f"value.{f}").alias("v")), F.when((F.col("type") != "patch") | F.col(f"value.{f}").isNotNull(), F.col("seq"))).alias(f) for f in fields]
-    last = F.max_by(F.struct("type"), whole).alias("_type")
-    state = marked.groupBy(key).agg(last, *picks)
-    return state.where("_type.type IS NULL OR _type.type <> 'remove'").select(key, *(F.col(f"{f}.v").alias(f) for f in fields))
+    marked = live.withColumn("_last", F.max(whole).over(Window.partitionBy(key))).where("_last IS NULL OR seq >= _last")
+
+    def sets(i: int, path: tuple[str, ...]) -> Column:
+        names = [".".join(path[: k + 1]) for k in range(len(path))]
+        named = F.arrays_overlap("fields", F.array(*map(F.lit, names)))
+        return (F.col("type") != "patch") | F.when(F.col("fields").isNull(), F.col(f"value.f{i}").isNotNull()).otherwise(named)
+
+    picks = [F.max_by(F.struct(F.col(f"value.f{i}").alias("v")), F.when(sets(i, path), F.col("seq"))).alias(f"f{i}") for i, path in enumerate(leaves)]
+    last, patched = F.max_by(F.struct("type"), whole).alias("_type"), F.count_if(F.col("type") == "patch").alias("_patched")
+    state = marked.groupBy(key).agg(last, patched, *picks).where("_type.type IS NULL OR _type.type <> 'remove' OR _patched > 0")
+    value = {path: F.col(f"f{i}.v") for i, path in enumerate(leaves)}
+
+    def built(kind: T.DataType, path: tuple[str, ...]) -> Column:
+        if not isinstance(kind, T.StructType):
+            return value[path]
+        own = F.struct(*(built(f.dataType, (*path, f.name)).alias(f.name) for f in kind.fields))
+        empty = F.lit(True)
+        for x, c in value.items():
+            if x[: len(path)] == path:
+                empty = empty & c.isNull()
+        return F.when(~empty, own)
+
+    return state.select(key, *(built(base.schema[f].dataType, (f,)).alias(f) for f in fields))
+
+
+def splice(base: DataFrame, log: DataFrame, pos: str = "pos") -> DataFrame:
+    """An array (dense pos from 0, fields) after positional writes (seq, type: insert, remove or update; at: place as it then is;
+    value: struct of the fields). An insert without a place goes to the end; removals and inserts shift what follows.
+
+    The places of writes follow from the earlier ones, so the log, which is one change's, is read by the driver; rows are
+    not: each one's new place is its old one moved by the stretches that the writes leave.
+    """
+    fields = [c for c in base.columns if c != pos]
+    n = base.count()
+    runs: list[tuple[int, int, int | None]] = [(0, n, None)]  # (first, count, number of the write that made it); None: rows of the base
+    for k, w in enumerate(log.select("seq", "type", "at").orderBy("seq").collect()):
+        size = sum(c for _, c, _ in runs)
+        at = size if w["at"] is None and w["type"] == "insert" else w["at"]
+        if at is None or at < 0 or at > size or (at == size and w["type"] != "insert"):
+            continue  # no such place
+        before, after, left = [], [], at
+        for first, count, made in runs:
+            take = min(left, count)
+            left -= take
+            if take:
+                before.append((first, take, made))
+            if count > take:
+                after.append((first + take, count - take, made))
+        if w["type"] != "insert":
+            first, count, made = after[0]
+            after = ([(first + 1, count - 1, made)] if count > 1 else []) + after[1:]
+        runs = before + ([(0, 1, k)] if w["type"] != "remove" else []) + after
+    rows, at = [], 0
+    for first, count, made in runs:
+        rows.append((first, first + count, at - first, made))
+        at += count
+    spark = base.sparkSession
+    shifts = spark.createDataFrame([(a, b, d) for a, b, d, made in rows if made is None], "_a long, _b long, _d long")
+    old = base.join(F.broadcast(shifts), (F.col(pos) >= F.col("_a")) & (F.col(pos) < F.col("_b"))).select((F.col(pos) + F.col("_d")).cast("int").alias(pos), *fields)
+    made_at = spark.createDataFrame([(k, d) for _, _, d, k in rows if k is not None], "_k long, _p int")
+    numbered = log.withColumn("_k", (F.row_number().over(Window.orderBy("seq")) - 1).cast("long"))  # one change's writes
+    new = numbered.join(F.broadcast(made_at), "_k").select(F.col("_p").alias(pos), *(F.col(f"value.{f}").alias(f) for f in fields))
+    return old.unionByName(new)
 
 
 def _comparable(df: DataFrame, c: str):

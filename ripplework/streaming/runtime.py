@@ -1,12 +1,12 @@
 """Views kept current over a stream of changes, and debounced values.
 
-Each micro-batch folds its log rows into the base table, which is written under the batch's number, so that a repeated
-batch writes the same folder; registered views are lowered over the new table, and the difference from their last state
+Each micro-batch folds its log rows into the base table, which is written to a new folder; registered views are lowered over the new table, and the difference from their last state
 goes to their sinks. A batch is one change: consumers see its net effect, never what lies between.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.view import View
 from .changes import diff, fold
 
+_COMMIT = "batch long, name string, path string"
 Sink = Callable[[int, DataFrame, DataFrame], None]
 
 
@@ -41,56 +42,99 @@ def to_call(fn: Callable[[list[Row]], None]) -> Sink:
 
 
 class Engine:
-    """A base table, the views over it and their sinks. define(view of the base) gives a view."""
+    """A base table, the views over it and their sinks. define(view of the base) gives a view.
 
-    def __init__(self, spark: SparkSession, folder: str, base: DataFrame, key: str = "key", order: str | None = None):
+    Each change writes new folders and then, after its sinks have run, the commit that names them: a change that fails or is
+    repeated starts from what the last commit names, and sinks may see its delta again, but miss none. An engine that is
+    made over a folder with commits goes on from the last one; `base` is then not read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, base: DataFrame | None = None, key: str = "key", order: str | None = None):
         self.spark, self.folder, self.key, self.order = spark, folder, key, order
         self.views: dict[str, tuple[Callable[[View], View], list[Sink]]] = {}
         self.states: dict[str, DataFrame] = {}
-        self.schema = base.schema
-        base.write.mode("overwrite").parquet(f"{folder}/base/batch=-1")
-        self.batch, self.version = -1, 0
+        found = self._commits()
+        if found:
+            self.commit = max(found)
+            rows = self.spark.read.schema(_COMMIT).parquet(self._at("commits", self.commit)).collect()  # a row a view, and the base's
+            self.batch = rows[0]["batch"]
+            self.paths = {r["name"]: r["path"] for r in rows}
+        else:
+            self.commit, self.batch, self.paths = 0, -1, {}
+            path = self._fresh("base")
+            base.write.parquet(path)
+            self._commit(-1, {None: path})
+
+    def _at(self, what: str, number: int) -> str:
+        return f"{self.folder}/{what}/number={number}"
+
+    def _fresh(self, what: str) -> str:
+        """A folder that no commit names, whatever failed before."""
+        return f"{self.folder}/{what}/{uuid.uuid4().hex}"
+
+    def _commits(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/commits")
+        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(where):
+            return []
+        return [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(where) if fs.exists(jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+
+    def _commit(self, batch: int, paths: dict[str | None, str]) -> None:
+        merged = self.paths | paths
+        rows = [(batch, name, path) for name, path in merged.items()]
+        self.spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("overwrite").parquet(self._at("commits", self.commit + 1))
+        self.commit, self.batch, self.paths = self.commit + 1, batch, merged
 
     def base(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/base/batch={self.batch}")
+        return self.spark.read.parquet(self.paths[None])
 
     def register(self, name: str, define: Callable[[View], View], *sinks: Sink) -> None:
+        """Sinks first get the present state as inserts; of a view that an earlier engine had here, what has changed since."""
         self.views[name] = (define, list(sinks))
-        state, view = self._state(name)
-        for sink in sinks:
-            sink(self.batch, diff(state.limit(0), state, list(view.node.key), "pos" if view.node.pos else None), state)
+        path, state, view = self._lowered(name, self.base())
+        before = self.spark.read.schema(state.schema).parquet(self.paths[name]) if name in self.paths else state.limit(0)
+        self._tell(name, before, state, view, self.batch, first=name not in self.paths)
+        self._commit(self.batch, {name: path})
+        self.states[name] = state
 
     def disconnect(self, name: str) -> None:
         self.views.pop(name)
         self.states.pop(name)
+        self.paths.pop(name)
 
-    def _state(self, name: str) -> tuple[DataFrame, View]:
-        view = self.views[name][0](View.over(self.base(), self.key, self.order))
-        self.version += 1  # the state before stays readable until the next change
-        path = f"{self.folder}/views/{name}/version={self.version}"
-        view.df.write.mode("overwrite").parquet(path)
-        self.states[name] = self.spark.read.parquet(path)
-        return self.states[name], view
+    def _lowered(self, name: str, base: DataFrame) -> tuple[str, DataFrame, View]:
+        view, path = self.views[name][0](View.over(base, self.key, self.order)), self._fresh(f"views/{name}")
+        view.df.write.parquet(path)
+        return path, self.spark.read.parquet(path), view
+
+    def _tell(self, name: str, before: DataFrame, state: DataFrame, view: View, batch: int, first: bool = False) -> None:
+        sinks = self.views[name][1]
+        delta = diff(before, state, list(view.node.key), "pos" if view.node.pos else None)
+        if sinks and (first or not delta.isEmpty()):
+            for sink in sinks:
+                sink(batch, delta, state)
 
     def apply(self, log: DataFrame, batch: int | None = None) -> None:
-        """Fold a batch of log rows (seq, type, key, value) and tell the sinks what changed. Empty batches do nothing."""
-        if log.isEmpty():
+        """Fold a batch of log rows (seq, type, key, value) and tell the sinks what changed. Empty batches, and those committed before, do nothing."""
+        if (batch is not None and batch <= self.batch) or log.isEmpty():
             return
-        number = self.batch + 1 if batch is None else batch
-        fold(self.base(), log, self.key).write.mode("overwrite").parquet(f"{self.folder}/base/batch={number}")
-        self.batch = number
-        self.refresh()
+        path = self._fresh("base")
+        fold(self.base(), log, self.key).write.parquet(path)
+        self._refresh(self.batch + 1 if batch is None else batch, {None: path}, self.spark.read.parquet(path))
 
     def refresh(self) -> None:
         """Lower all views again, as after a bound has moved, and tell the sinks."""
-        for name, (_, sinks) in self.views.items():
-            before = self.states[name]
-            state, view = self._state(name)
-            delta = diff(before, state, list(view.node.key), "pos" if view.node.pos else None)
-            if not sinks or delta.isEmpty():
-                continue
-            for sink in sinks:
-                sink(self.batch, delta, state)
+        self._refresh(self.batch, {}, self.base())
+
+    def _refresh(self, batch: int, paths: dict[str | None, str], base: DataFrame) -> None:
+        states = {}
+        for name in self.views:
+            path, state, view = self._lowered(name, base)
+            self._tell(name, self.states[name], state, view, batch)
+            paths[name], states[name] = path, state
+        self._commit(batch, paths)
+        self.states |= states
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Follow a stream of log rows."""
