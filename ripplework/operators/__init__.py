@@ -39,3 +39,18 @@ def group(view: View, *args, **kw) -> View:
 
 def to(view: View, *args, **kw) -> View:
     return view.to(*args, **kw)
+
+
+def az(view: View, *args, **kw) -> View:
+    return view.az(*args, **kw)
+
+
+def top(view: View, *args, **kw) -> View:
+    return view.top(*args, **kw)
+
+
+def debounce(view: View, *args, **kw):
+    """What a trailing throttle lets through of the view's recorded events; see streaming.runtime.debounced."""
+    from ..streaming.runtime import debounced
+
+    return debounced(view.df, *args, **kw)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import bucket, clamp, day, hour_of
+from ..functions.scalars import bucket, clamp, day, day_label, hour_of, month_day_time, number, spread
 from ..sources import table
-from ..streaming.changes import diff, fold
+from ..streaming.changes import diff, fold, splice
 from ..streaming.runtime import debounced
 from .view import Cell, Link, View
 
-VALUE, USER = [50, 300], [2, 120]
+VALUE, USER, DAYS = [50, 300], [2, 120], [19724, 19747]
 E_COLS = ["event_id", "event_type", "value", "user_id"]
 
 
@@ -29,13 +31,13 @@ def _typed(spark: SparkSession, sf: str) -> View:
 
 
 def _flights(spark: SparkSession, sf: str) -> View:
-    """The crossfilter's rows: time of day, clamped value, day."""
-    return events(spark, sf).map({"ts": F.col("ts"), "time": hour_of(F.col("ts")), "value": clamp(F.col("value"), 5, 450), "user_id": F.col("user_id"), "date": day(F.col("ts")), "event_type": F.col("event_type")})
+    """The crossfilter's rows: time of day, clamped value, day and its number."""
+    return events(spark, sf).map({"ts": F.col("ts"), "time": hour_of(F.col("ts")), "value": clamp(F.col("value"), 5, 450), "user_id": F.col("user_id"), "date": day(F.col("ts")), "day": F.unix_date(F.to_date("ts")), "event_type": F.col("event_type")})
 
 
 def _crossfilter(spark: SparkSession, sf: str) -> tuple[View, dict[str, View]]:
     rows = _flights(spark, sf)
-    ranges = {"time": [6, 20], "value": VALUE, "user_id": USER}
+    ranges = {"time": [6, 20], "value": VALUE, "user_id": USER, "day": DAYS}
     return rows, {k: rows.between(k, Cell(v)) for k, v in ranges.items()}
 
 
@@ -48,6 +50,63 @@ def _chart(dim: str, width: float):
     return lambda s, d: _active(s, d, dim).length(bucket(F.col(dim), width)).df
 
 
+def _charts(s: SparkSession, d: str) -> DataFrame:
+    """All four charts by one scan: each row counts in the charts whose other three ranges hold it."""
+    rows = _flights(s, d).df
+    holds = {"time": F.col("time").between(6, 20), "value": F.col("value").between(*VALUE), "user_id": F.col("user_id").between(*USER), "day": F.col("day").between(*DAYS)}
+    buckets = {"time": bucket(F.col("time"), 1), "value": bucket(F.col("value"), 10), "user_id": bucket(F.col("user_id"), 50), "day": F.col("day").cast("long")}
+    marks = []
+    for dim, of in buckets.items():
+        others = F.lit(True)
+        for k, held in holds.items():
+            others = others & held if k != dim else others
+        marks.append(F.when(others, F.struct(F.lit(dim).alias("dim"), of.alias("bucket"))))
+    return rows.select(F.explode(F.array_compact(F.array(*marks))).alias("x")).where("x.bucket IS NOT NULL").groupBy("x.dim", "x.bucket").agg(F.count(F.lit(1)).alias("value"))
+
+
+def _small_log(s: SparkSession, d: str, writes: str) -> DataFrame:
+    """fold() of events (value, user_id) after log rows made by SQL from the table e."""
+    e = events(s, d).df.select("event_id", "value", "user_id")
+    e.createOrReplaceTempView("ripplework_events")
+    return fold(e, s.sql(writes.replace("FROM e", "FROM ripplework_events")), "event_id")
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Patches that set a field inside a struct, and one to null."""
+    e = events(s, d).df.select("event_id", F.struct("value", F.struct("user_id", "event_type").alias("who")).alias("row"))
+    none = lambda k: F.lit(None).cast(k)
+    value = F.struct(F.struct(none("double").alias("value"), F.struct(F.lit(-5).cast("long").alias("user_id"), none("string").alias("event_type")).alias("who")).alias("row"))
+    log = e.where("event_id % 4 = 0").select((F.col("event_id") + 1).alias("seq"), F.lit("patch").alias("type"), "event_id", value.alias("value"), F.array(F.lit("row.value"), F.lit("row.who.user_id")).alias("fields"))
+    return fold(e, log, "event_id").select("event_id", "row.value", "row.who.user_id", "row.who.event_type")
+
+
+def _spliced(s: SparkSession, d: str) -> DataFrame:
+    """An array after an insert at 2, a removal at 0, an update at 3 and an insert at the end."""
+    base = orders(s, d).az("o_orderkey", 1000).df.select("pos", "o_orderkey")
+    log = s.createDataFrame([(1, "insert", 2, (-1,)), (2, "remove", 0, None), (3, "update", 3, (-2,)), (4, "insert", None, (-3,)), (5, "remove", 5000, None)], "seq long, type string, at int, value struct<o_orderkey: long>")
+    return splice(base, log).select(F.col("pos").cast("long").alias("pos"), "o_orderkey")
+
+
+def _scalars(s: SparkSession, d: str) -> DataFrame:
+    text = F.date_format("ts", "MMddHHmm")
+    made = {
+        "parsed": number(F.concat(F.col("user_id").cast("string"), F.lit(".5"))),
+        "none": number(F.col("event_type")),
+        "at": month_day_time(text, 2001),
+        "label": day_label(F.col("ts")),
+        "spread": spread(F.col("value"), F.col("user_id")),
+        "kind": F.substring("event_type", 1, 3),
+        "shown": F.concat(F.lit("#"), F.when(F.col("value") > 100, F.lit("high")).otherwise(F.lit("low"))),
+    }
+    return events(s, d).map(made).df
+
+
+def _keep_zero(s: SparkSession, d: str) -> DataFrame:
+    """Counts of the rows in range, with every bucket of the whole."""
+    every = events(s, d).length(bucket(F.col("value"), 10)).df
+    return events(s, d).between("value", [100, 140]).length(bucket(F.col("value"), 10), keep_zero=every).df
+
+
 def _log(s: SparkSession, d: str) -> DataFrame:
     """A change log from events: every seventh row is removed, every fifth updated, each third patched, and new rows come."""
     e = events(s, d).df
@@ -119,10 +178,8 @@ QUERIES = {
     "intersect_fused": lambda s, d: (lambda e: e.between("value", VALUE).intersect(e.between("user_id", USER), e.filter("event_type", "click")).df.select(*E_COLS))(events(s, d)),
     "intersect_semi": lambda s, d: (lambda e: e.between("value", VALUE).intersect(e.between("user_id", USER), e.filter("event_type", "click"), fuse=False).df.select(*E_COLS))(events(s, d)),
     "group_flat": lambda s, d: orders(s, d).group(F.col("o_orderpriority")).df.select("group", "idx", "o_orderkey"),
-    "group_array": lambda s, d: orders(s, d).limit(200).group(F.col("o_orderstatus"), "array").df.select("group", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("keys")),
-    "group_object": lambda s, d: orders(s, d).limit(200).group(F.col("o_orderstatus"), "object").df.select("group", F.size("rows").cast("long").alias("n")),
-    "group_array_all": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "array").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",")).alias("keys_md5")),
-    "group_object_all": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "object").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.map_keys("rows")), lambda k: k.cast("string")), ",")).alias("keys_md5")),
+    "group_array": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "array").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",")).alias("keys_md5")),
+    "group_object": lambda s, d: orders(s, d).group(F.col("o_orderstatus"), "object").df.select("group", F.size("rows").cast("long").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.map_keys("rows")), lambda k: k.cast("string")), ",")).alias("keys_md5")),
     "group_limit": lambda s, d: orders(s, d).limit(50).group(F.col("o_orderpriority")).df.select("group", "idx", "o_orderkey", "pos"),
     "path_value": lambda s, d: _typed(s, d).path("props", "k").df,
     "path_of_row": lambda s, d: _typed(s, d).path("event_type", key=17).df,
@@ -135,18 +192,32 @@ QUERIES = {
     "xf_chart_time": _chart("time", 1),
     "xf_chart_value": _chart("value", 10),
     "xf_chart_user": _chart("user_id", 50),
-    "xf_chart_date": lambda s, d: _active(s, d).length(F.col("date")).df,
+    "xf_chart_date": lambda s, d: _active(s, d, "day").length(F.col("date")).df,
     "xf_list": _list,
+    "xf_charts": _charts,
+    "filter_python_fn": lambda s, d: events(s, d).filter(lambda r: r.value > 2 * r.user_id, columns=["value", "user_id"]).df.select(*E_COLS),
+    "map_python_fn": lambda s, d: events(s, d).map(lambda r: r.value * 2 if r.user_id % 2 else None, "double", columns=["value", "user_id"]).df,
+    "path_of_composite_key": lambda s, d: table(s, f"{d}/conversations.parquet", ["conv_id", "turn"]).path("role", key=(3, 1)).df,
+    "dense_filter": lambda s, d: events(s, d).filter("event_type", "click").az("event_id").df.select("pos", "event_id"),
+    "length_keep_zero": _keep_zero,
+    "scalars": _scalars,
+    "iterated": lambda s, d: s.createDataFrame([(r["event_id"],) for r in itertools.islice(iter(events(s, d).az("value", 5)), 5)], "event_id long"),
+    "coerced": lambda s, d: s.createDataFrame([(str(events(s, d).length()), float(events(s, d).length()))], "shown string, number double"),
+    "changelog_patch_after_remove": lambda s, d: _small_log(s, d, "SELECT event_id + 10 AS seq, 'remove' AS type, event_id, struct(value, user_id) AS value FROM e WHERE event_id % 3 = 0 UNION ALL SELECT event_id + 1000000000, 'patch', event_id, struct(CAST(NULL AS double), -7L) FROM e WHERE event_id % 6 = 0"),
+    "changelog_root_update": lambda s, d: _small_log(s, d, "SELECT DISTINCT 50L AS seq, 'update' AS type, CAST(NULL AS long) AS event_id, CAST(NULL AS struct<value: double, user_id: long>) AS value FROM e UNION ALL SELECT 50L, 'insert', event_id, struct(value + 1, user_id) FROM e WHERE event_id % 10 = 0 UNION ALL SELECT 40L, 'update', event_id, struct(0D, 0L) FROM e"),
+    "changelog_nested_null": _nested,
+    "array_splice": _spliced,
     "changelog_fold": lambda s, d: fold(events(s, d).df.select("event_id", "value", "user_id"), _log(s, d), "event_id"),
     "diff_between_bounds": _bounds_delta,
     "diff_topn_moves": _topn_moves,
     "debounce_latest": lambda s, d: debounced(events(s, d).df, "user_id", "ts", "value", 3_600_000),
 }
 
+_CHART = lambda dim, of: f"SELECT '{dim}' AS dim, ({of})::BIGINT AS bucket, count(*) AS value FROM ({_F}) WHERE {_X(dim)} GROUP BY ALL"
 _E = "SELECT event_id, event_type, value, user_id FROM events WHERE "
 _K = "json_extract_string(props, '$.k')::BIGINT"
-_F = "SELECT event_id, ts, hour(ts) + minute(ts) / 60.0::DOUBLE AS time, greatest(5, least(450, value)) AS value, user_id, date_trunc('day', ts)::TIMESTAMP AS date FROM events"
-_ON = {"time": "time BETWEEN 6 AND 20", "value": "value BETWEEN 50 AND 300", "user_id": "user_id BETWEEN 2 AND 120"}
+_F = "SELECT event_id, ts, hour(ts) + minute(ts) / 60.0::DOUBLE AS time, greatest(5, least(450, value)) AS value, user_id, date_trunc('day', ts)::TIMESTAMP AS date, date_diff('day', DATE '1970-01-01', ts::DATE) AS day FROM events"
+_ON = {"time": "time BETWEEN 6 AND 20", "value": "value BETWEEN 50 AND 300", "user_id": "user_id BETWEEN 2 AND 120", "day": "day BETWEEN 19724 AND 19747"}
 _X = lambda without="": " AND ".join(v for k, v in _ON.items() if k != without)
 _HIST = lambda dim, width: f"SELECT (floor({dim} / {width}) * {width})::BIGINT AS bucket, count(*) AS value FROM ({_F}) WHERE {_X(dim)} GROUP BY 1"
 
@@ -174,10 +245,8 @@ ORACLE = {
     "intersect_fused": _E + "value BETWEEN 50 AND 300 AND user_id BETWEEN 2 AND 120 AND event_type = 'click'",
     "intersect_semi": _E + "value BETWEEN 50 AND 300 AND event_id IN (SELECT event_id FROM events WHERE user_id BETWEEN 2 AND 120) AND event_id IN (SELECT event_id FROM events WHERE event_type = 'click')",
     "group_flat": "SELECT o_orderpriority AS \"group\", row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS idx, o_orderkey FROM orders",
-    "group_array": "SELECT o_orderstatus AS \"group\", string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS keys FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
-    "group_object": "SELECT o_orderstatus AS \"group\", count(*) AS n FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) GROUP BY 1",
-    "group_array_all": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
-    "group_object_all": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
+    "group_array": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
+    "group_object": "SELECT o_orderstatus AS \"group\", count(*) AS n, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS keys_md5 FROM orders GROUP BY 1",
     "group_limit": "SELECT o_orderpriority AS \"group\", row_number() OVER (PARTITION BY o_orderpriority ORDER BY pos) - 1 AS idx, o_orderkey, pos FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders QUALIFY pos < 50)",
     "path_value": f"SELECT event_id, {_K} AS value FROM events",
     "path_of_row": "SELECT event_id, event_type AS value FROM events WHERE event_id = 17",
@@ -190,7 +259,22 @@ ORACLE = {
     "xf_chart_time": _HIST("time", 1),
     "xf_chart_value": _HIST("value", 10),
     "xf_chart_user": _HIST("user_id", 50),
-    "xf_chart_date": f"SELECT date AS bucket, count(*) AS value FROM ({_F}) WHERE {_X()} GROUP BY 1",
+    "xf_chart_date": f"SELECT date AS bucket, count(*) AS value FROM ({_F}) WHERE {_X('day')} GROUP BY 1",
+    "xf_charts": " UNION ALL ".join([_CHART("time", "floor(time)"), _CHART("value", "floor(value / 10) * 10"), _CHART("user_id", "floor(user_id / 50) * 50"), _CHART("day", "day")]),
+    "filter_python_fn": _E + "value > 2 * user_id",
+    "map_python_fn": "SELECT event_id, value * 2 AS value FROM events WHERE user_id % 2 = 1",
+    "path_of_composite_key": "SELECT conv_id, turn, role AS value FROM conversations WHERE conv_id = 3 AND turn = 1",
+    "dense_filter": "SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_id FROM events WHERE event_type = 'click'",
+    "length_keep_zero": "SELECT (floor(value / 10) * 10)::BIGINT AS bucket, count(*) FILTER (value BETWEEN 100 AND 140) AS value FROM events GROUP BY 1",
+    "scalars": "SELECT event_id, user_id + 0.5::DOUBLE AS parsed, NULL::DOUBLE AS \"none\", make_timestamp(2001, month(ts), day(ts), hour(ts), minute(ts), 0) AS \"at\", (month(ts) - 1) || '-' || day(ts) || '-' || year(ts) AS label, round(value - user_id, 2) AS spread, event_type[1:3] AS kind, '#' || CASE WHEN value > 100 THEN 'high' ELSE 'low' END AS shown FROM events",
+    "iterated": "SELECT event_id FROM events ORDER BY value, event_id LIMIT 5",
+    "coerced": "SELECT count(*)::VARCHAR AS shown, count(*)::DOUBLE AS number FROM events",
+    "changelog_patch_after_remove": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 6 = 0 THEN -7 ELSE user_id END AS user_id FROM events WHERE event_id % 3 <> 0 OR event_id % 6 = 0",
+    "changelog_root_update": "SELECT event_id, value + 1 AS value, user_id FROM events WHERE event_id % 10 = 0",
+    "changelog_nested_null": "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE value END AS value, CASE WHEN event_id % 4 = 0 THEN -5 ELSE user_id END AS user_id, event_type FROM events",
+    "array_splice": """WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p, o_orderkey FROM orders QUALIFY p < 1000),
+      b AS (SELECT CASE WHEN p >= 2 THEN p + 1 ELSE p END - 1 AS pos, o_orderkey FROM a WHERE p > 0 UNION ALL SELECT 1, -1)
+      SELECT pos, CASE WHEN pos = 3 THEN -2 ELSE o_orderkey END AS o_orderkey FROM b UNION ALL SELECT (SELECT count(*) FROM b), -3""",
     "xf_list": f"SELECT date AS \"group\", row_number() OVER (PARTITION BY date ORDER BY pos) - 1 AS idx, event_id, pos FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS pos FROM ({_F}) WHERE {_X()} QUALIFY pos < 40)",
     "changelog_fold": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value * 2 ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT -event_id, value, user_id FROM events WHERE event_id % 100 = 1",
     "diff_between_bounds": "SELECT 'insert' AS type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE value > 60 AND value <= 80 UNION ALL SELECT 'remove', count(*), sum(event_id)::BIGINT FROM events WHERE value >= 10 AND value < 20",
