@@ -3,10 +3,11 @@
 import random
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from ripplework.plans.view import Cell
-from ripplework.streaming.changes import apply, diff, fold
+from ripplework.streaming.changes import apply, diff, fold, splice
 from ripplework.streaming.runtime import Engine, debounce_stream, debounced, to_call, to_list, to_table, to_view
 
 BASE = "key string, num double"
@@ -135,3 +136,56 @@ def test_debounce_stream(spark, tmp_path):
         assert [tuple(r) for r in spark.table("quiet").collect()] == [("a", 2.0)]
     finally:
         query.stop()
+
+
+def _engine_log(spark, *rows):
+    return spark.createDataFrame(rows, "seq long, type string, key string, value struct<v: int>")
+
+
+def test_engine_goes_on_after_a_restart(spark, tmp_path):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    big, seen = (lambda view: view.filter(F.col("v") > 1)), []
+    one = Engine(spark, str(tmp_path), base)
+    one.register("big", big, to_list(seen))
+    one.apply(_engine_log(spark, (0, "update", "a", (5,))), 0)
+    two, later = Engine(spark, str(tmp_path)), []
+    assert {tuple(r) for r in two.base().collect()} == {("a", 5), ("b", 2)} and two.batch == 0
+    two.register("big", big, to_list(later))
+    assert not later  # nothing has changed since the last commit
+    two.apply(_engine_log(spark, (0, "update", "a", (5,))), 0)  # a batch that was committed before
+    two.apply(_engine_log(spark, (1, "remove", "b", None)), 1)
+    assert [(r["type"], r["key"]["key"]) for r in later] == [("remove", "b")]
+    assert {tuple(r) for r in Engine(spark, str(tmp_path)).base().collect()} == {("a", 5)}
+
+
+def test_a_failed_sink_loses_no_change(spark, tmp_path):
+    base = spark.createDataFrame([("a", 1)], "key string, v int")
+    seen, fails = [], [True]
+
+    def flaky(batch, delta, state):
+        if batch >= 0 and fails:
+            fails.clear()
+            raise OSError("the sink is away")
+        seen.extend(delta.collect())
+
+    engine = Engine(spark, str(tmp_path), base)
+    engine.register("all", lambda view: view.filter(F.col("v") > 0), flaky)
+    log = _engine_log(spark, (0, "insert", "b", (2,)))
+    with pytest.raises(OSError):
+        engine.apply(log, 0)
+    assert engine.base().count() == 1
+    engine.apply(log, 0)
+    assert [(r["type"], r["key"]["key"]) for r in seen] == [("insert", "a"), ("insert", "b")] and engine.base().count() == 2
+
+
+def test_patches_roots_and_splices(spark):
+    base = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "key string, v int, w string")
+    log = lambda *rows: spark.createDataFrame(rows, "seq long, type string, key string, value struct<v: int, w: string>, fields array<string>")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(fold(base, log((1, "remove", "a", (1, "x"), None), (2, "patch", "a", (7, None), None)))) == {("a", 7, None), ("b", 2, "y")}
+    assert rows(fold(base, log((1, "patch", "a", (None, None), ["w"]), (2, "patch", "z", (3, None), ["v"])))) == {("a", 1, None), ("b", 2, "y"), ("z", 3, None)}
+    assert rows(fold(base, log((1, "update", "b", (9, "q"), None), (2, "update", None, None, None), (2, "insert", "n", (4, "n"), None), (3, "patch", "n", (5, None), None)))) == {("n", 5, "n")}
+    array = spark.createDataFrame([(0, 10), (1, 11), (2, 12)], "pos int, v int")
+    writes = spark.createDataFrame([(1, "insert", 1, (5,)), (2, "remove", 2, None), (3, "insert", None, (6,)), (4, "remove", 9, None), (5, "update", 0, (1,))], "seq long, type string, at int, value struct<v: int>")
+    assert sorted(rows(splice(array, writes))) == [(0, 1), (1, 5), (2, 12), (3, 6)]
+    assert rows(splice(array.limit(0), writes)) == {(0, 1)}
