@@ -5,14 +5,15 @@ from __future__ import annotations
 import html
 import re
 
-#: Elements whose content is never text of a page, and those that end a block.
+#: Elements whose content is never text of a page, those of them whose content is no markup, and those that end a block.
 HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist".split())
+RAW = frozenset("script style title textarea".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Open elements that a new one of the kind closes.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"[ \t-\r]+")
 
@@ -34,6 +35,23 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _end_of(page: str, tag: str, at: int) -> int:
+    """Where a hidden element that begins before `at` ends. Without an end tag, raw content goes on to the page's end, a head
+    to the body, and other elements are taken for a tag alone. An element of the same kind inside has its own end."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag not in RAW and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    if tag == "head":
+        body = re.compile(r"(?=<(?:body|article|main|div|p|h1|header|nav|section)\b)", re.I).search(page, at)
+        return body.end() if body else at
+    return len(page) if tag in RAW else at
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in order. Unclosed tags, stray ends and cut-off pages are taken as they come."""
     page = page or ""
@@ -44,7 +62,7 @@ def blocks_of(page: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal linked
-        text = _SPACE.sub(" ", html.unescape("".join(pieces))).strip(" ")
+        text = _SPACE.sub(" ", "".join(pieces)).strip(" ")
         if text:
             out.append(Block(text, tuple(n for _, names in stack for n in names), min(linked, len(text))))
         pieces.clear()
@@ -57,25 +75,23 @@ def blocks_of(page: str | None) -> list[Block]:
             rest = page[at:]
             if (cut := re.search(r"<[/!a-zA-Z][^>]*\Z", rest)) is not None:  # a tag that the page's end cuts off
                 rest = rest[: cut.start()]
-            pieces.append(rest)
+            pieces.append(html.unescape(rest))
             break
         if m.start() > at:
-            pieces.append(page[at : m.start()])
+            pieces.append(html.unescape(page[at : m.start()]))  # a reference ends where a tag begins
             linked += (m.start() - at) if in_link else 0
         at = m.end()
-        if m[2] is None:
+        name, attributes = m[2] or m[5], m[3] or m[6] or ""  # the second form: a quote that nothing closes
+        if name is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing = name.lower(), bool(m[1] or m[4])
         if tag == "br":
             pieces.append(" ")
-        elif tag in HIDDEN and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if tag == "head" and end is None:
-                end = re.compile(r"(?=<body)", re.I).search(page, at)
-            at = end.end() if end else n
-            if tag not in ("button", "svg", "math", "canvas"):
-                continue
-            pieces.append(" ")
+        elif tag in HIDDEN:
+            if not closing and not attributes.endswith("/"):
+                at = _end_of(page, tag, at)
+            if tag in ("button", "svg", "math", "canvas"):
+                pieces.append(" ")
         elif tag in INLINE:
             in_link = max(0, in_link + (-1 if closing else 1)) if tag == "a" else in_link
         elif closing:
@@ -93,6 +109,6 @@ def blocks_of(page: str | None) -> list[Block]:
             closes = CLOSES.get(tag, set()) | ({"p"} if tag in _ENDS_P else set())
             if closes and stack and stack[-1][0] in closes:
                 stack.pop()
-            stack.append((tag, _names(tag, m[3])))
+            stack.append((tag, _names(tag, attributes)))
     flush()
     return out

@@ -49,8 +49,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _run(x: np.ndarray, keep: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray):
-    """x: (steps, pages, inputs); keep: (steps, pages, 1), 0 beyond a page's end. Returns states and what backward needs."""
+def _run(x: np.ndarray, keep: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, learn: bool = False):
+    """x: (steps, pages, inputs); keep: (steps, pages, 1), 0 beyond a page's end. Returns states and, to learn, what backward needs."""
     steps, pages, _ = x.shape
     h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
     into, states, trace = x @ w + b, np.empty((steps, pages, HIDDEN), np.float32), []
@@ -60,7 +60,8 @@ def _run(x: np.ndarray, keep: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.nd
         g = np.tanh(gates[:, 3 * HIDDEN :])
         new_c = f * c + i * g
         tc = np.tanh(new_c)
-        trace.append((h, c, i, f, o, g, tc))
+        if learn:
+            trace.append((h, c, i, f, o, g, tc))
         h, c = keep[t] * o * tc, keep[t] * new_c
         states[t] = h
     return states, trace
@@ -108,10 +109,10 @@ class Labeller:
             turned[:, k] = np.concatenate([np.arange(len(f))[::-1], np.arange(len(f), longest)])
         return x, keep, turned
 
-    def _forward(self, x, keep, turned):
+    def _forward(self, x, keep, turned, learn=False):
         p, back = self.p, np.take_along_axis(x, turned[:, :, None], 0)
-        hf, tf = _run(x, keep, p["wf"], p["uf"], p["cf"])
-        hb, tb = _run(back, keep, p["wb"], p["ub"], p["cb"])
+        hf, tf = _run(x, keep, p["wf"], p["uf"], p["cf"], learn)
+        hb, tb = _run(back, keep, p["wb"], p["ub"], p["cb"], learn)
         both = np.concatenate([hf, np.take_along_axis(hb, turned[:, :, None], 0)], 2)
         return _sigmoid(both @ p["out"] + p["bias"]), both, back, tf, tb
 
@@ -143,7 +144,7 @@ class Labeller:
                 y = np.zeros(keep.shape, np.float32)
                 for j, k in enumerate(some):
                     y[: len(labels[k]), j, 0] = labels[k]
-                shown, both, back, tf, tb = self._forward(x, keep, turned)
+                shown, both, back, tf, tb = self._forward(x, keep, turned, learn=True)
                 n = keep.sum()
                 total -= float((keep * (y * np.log(shown + 1e-7) + (1 - y) * np.log(1 - shown + 1e-7))).sum())
                 count += float(n)

@@ -54,3 +54,17 @@ def test_batching_changes_nothing():
     model = Labeller()
     together, alone = model.probabilities(xs), [model.probabilities([x])[0] for x in xs]
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(together, alone, strict=True))
+
+
+def test_malformed_markup():
+    from ripplework.llm.html_blocks import blocks_of
+
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p>one<svg viewBox='0'/>two</p><p>three</p>") == ["one two", "three"]
+    assert texts("<p>one<svg><svg>x</svg>y</svg>two") == ["one two"]
+    assert texts("<p>one</p><button>press<p>two</p>") == ["one", "press", "two"]
+    assert texts("<html><head><title>t</title><p>body text</p>") == ["body text"]
+    assert texts("<p>one</p><script>if (a < b) '<p>no</p>'") == ["one"]
+    assert texts('<p class="x>never closed</p><p>next</p>') == ["never closed", "next"]
+    assert texts("a &<b>lt;</b> b &amp;lt; c") == ["a &lt; b &lt; c"]
+    assert texts("<object><object>x</object>y</object><p>after</p>") == ["after"]
