@@ -15,7 +15,7 @@ import numpy as np
 
 from .html_blocks import Block, blocks_of
 
-PATH_BINS, WORD_BINS, NUMBERS, HIDDEN = 64, 24, 6, 16
+PATH_BINS, WORD_BINS, NUMBERS, HIDDEN = 160, 24, 6, 16
 INPUTS = PATH_BINS + WORD_BINS + NUMBERS
 WEIGHTS = Path(__file__).with_name("html_weights.npz")
 
@@ -164,6 +164,9 @@ class Labeller:
 
 #: How made-up training pages name their parts.
 _MAIN = ("article", "main", "div class=content", "div class=post", "div class=entry-content", "div id=article-body", "section class=story", "div class=main-text")
+_PLAIN = ("section", "div", "div class=inner", "div class=col", "div class=row", "div id=x1", "td")
+#: What stands inside an article without being of it.
+_INSIDE = ("aside", "nav", "form", "div class=comments", "section id=comments", "figure class=ad", "div class=related", "div class=share", "footer", "div class=notice")
 _MENU = ("nav", "ul class=menu", "div class=navbar", "div id=navigation", "div class=breadcrumbs", "header", "div class=header")
 _ASIDE = ("aside", "div class=sidebar", "div class=ad", "div class=advert", "div class=banner", "div class=promo", "div class=cookie-notice", "div class=notice", "div role=alert", "div class=related", "div class=share", "div class=newsletter", "form", "div class=popup")
 _AFTER = ("footer", "div class=footer", "div id=comments", "section class=comments", "ol class=comment-list", "div class=comment", "div class=copyright", "form class=reply")
@@ -193,17 +196,20 @@ def made_page(rng: random.Random, prose) -> str:
     for k in range(rng.randint(1, 9)):
         kind = rng.random()
         text = prose(1, 90)
-        if kind < 0.75:
+        if kind < 0.65:
             body.append(f"<p>{text}{mark}" + ("</p>" if rng.random() < 0.9 else "<br>"))
-        elif kind < 0.83:
+        elif kind < 0.72:
             body.append(f"<h2>{prose(1, 6)}{mark}</h2>")
-        elif kind < 0.9:
+        elif kind < 0.78:
             body.append("<ul>" + "".join(f"<li>{prose(1, 12)}{mark}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
-        elif kind < 0.95:
+        elif kind < 0.82:
             body.append(f"<blockquote>{text}{mark}</blockquote>")
         else:
-            body.append(boiler(rng.choice(_ASIDE)))
-    a, b = opened(rng.choice(_MAIN) if rng.random() < 0.6 else "article")
+            body.append(boiler(rng.choice(rng.choice((_ASIDE, _INSIDE, _MENU)))))
+    if rng.random() < 0.3:  # comments and forms at the end of the article itself
+        body.append(boiler(rng.choice(_AFTER)))
+    kind = rng.random()
+    a, b = opened("article" if kind < 0.35 else rng.choice(_MAIN) if kind < 0.65 else rng.choice(_PLAIN) if kind < 0.85 else f"div class={prose(1, 1).strip('.').lower()}")
     parts = [boiler(rng.choice(_MENU)) for _ in range(rng.randint(0, 2))] + [boiler(rng.choice(_ASIDE)) for _ in range(rng.randint(0, 2))]
     rng.shuffle(parts)
     parts += [a + "".join(body) + b] + [boiler(rng.choice(_ASIDE)) for _ in range(rng.randint(0, 2))] + [boiler(rng.choice(_AFTER)) for _ in range(rng.randint(0, 3))]
@@ -233,9 +239,25 @@ def training_pages(n: int, seed: int, words: list[str]) -> tuple[list[np.ndarray
     return xs, ys
 
 
-def train(words: list[str], n: int = 1500, seed: int = 1) -> Labeller:
-    """The committed weights: this, with 10 epochs, on 11,097 words of the first 400 documents of the sf0.01 table (a bounded sample)."""
+def train(words: list[str], n: int = 9000, seed: int = 1) -> Labeller:
     xs, ys = training_pages(n, seed, words)
     model = Labeller.fresh(seed)
     model.fit(xs, ys, epochs=10)
     return model
+
+
+def main(documents: str, n_documents: int = 400) -> None:
+    """Write the committed weights: `python -m ripplework.llm.html_model /root/testdata/sf0.1/documents.parquet`.
+
+    The words of the made-up pages are those of the first n_documents documents, a bounded sample.
+    """
+    import pyarrow.parquet as pq
+
+    texts = next(pq.ParquetFile(documents).iter_batches(n_documents, columns=["text"])).column("text").to_pylist()
+    np.savez_compressed(WEIGHTS, **train(sorted({w for t in texts for w in (t or "").split()})).p)
+
+
+if __name__ == "__main__":
+    import sys
+
+    main(sys.argv[1])

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pytest
 
 from ripplework.llm.html_blocks import blocks_of
-from ripplework.llm.html_model import Labeller, training_pages
+from ripplework.llm.html_model import Labeller, features, training_pages
 from ripplework.llm.html_text import extract_text
 
 WORDS = [f"{a}{b}" for a in ("re", "un", "for", "in") for b in ("ler", "tion", "ging", "sa", "ment")]
@@ -57,8 +58,6 @@ def test_batching_changes_nothing():
 
 
 def test_malformed_markup():
-    from ripplework.llm.html_blocks import blocks_of
-
     texts = lambda page: [b.text for b in blocks_of(page)]
     assert texts("<p>one<svg viewBox='0'/>two</p><p>three</p>") == ["one two", "three"]
     assert texts("<p>one<svg><svg>x</svg>y</svg>two") == ["one two"]
@@ -68,3 +67,30 @@ def test_malformed_markup():
     assert texts('<p class="x>never closed</p><p>next</p>') == ["never closed", "next"]
     assert texts("a &<b>lt;</b> b &amp;lt; c") == ["a &lt; b &lt; c"]
     assert texts("<object><object>x</object>y</object><p>after</p>") == ["after"]
+
+
+KINDS = {
+    "aside": "<aside><p>see also this other story</p></aside>",
+    "comments": "<div class='comments'><p>nice text, thanks for it</p><p>I don't agree at all</p></div>",
+    "comment section": "<section id='comments'><p>first to say a word here</p></section>",
+    "menu": "<nav><a href='/'>Home</a><a href='/b'>About</a></nav>",
+    "form": "<form><label>Your name</label><input name='q'><p>send it to us</p></form>",
+    "notice": "<div class='cookie-notice'>We use cookies here</div>",
+    "advert": "<div class='ad'>Buy one and get one free</div>",
+    "footer": "<footer><p>printed by the press of the town</p></footer>",
+    "script": "<script>var x = '<p>no</p>';</script>",
+}
+
+
+@pytest.mark.parametrize("container", ["article", "main", "section", "div class='post'", "div class='qwzx'", "div"])
+@pytest.mark.parametrize("kind", KINDS)
+def test_parts_inside_the_article_go(container, kind):
+    """Pages written by hand: the paragraphs of the article, whatever holds it, and nothing else."""
+    model = Labeller()
+    said = [f"This is paragraph {k} of the text, and it has a good number of words in it, so that it reads like one." for k in range(5)]
+    inside = KINDS[kind]
+    tag = container.split()[0]
+    page = f"<html><head><title>t</title></head><body><header><a href='/'>Site</a></header><nav><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></nav><{container}>" + "".join(f"<p>{x}</p>" for x in said[:3]) + inside + "".join(f"<p>{x}</p>" for x in said[3:]) + f"</{tag}><footer>All rights are with the owner</footer></body></html>"
+    blocks = blocks_of(page)
+    odds = model.probabilities([features(blocks)])[0]
+    assert [b.text for b, p in zip(blocks, odds, strict=True) if p >= 0.5] == said
