@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Predicate = Callable[[DataFrame], Column]
 _NUMBERS = itertools.count(1)
@@ -103,19 +104,41 @@ class Made(Node):
         return self.make(self.above.frame())
 
 
-def ranked(df: DataFrame, by: list[Column], first: Column | None = None, name: str = "pos") -> DataFrame:
-    """df with its dense rank from 0 in the order `by`.
+#: Sampled rows for each range of a ranking.
+PER_RANGE = 8
 
-    first: the leading key as a number. With it, rows are cut into ranges by quantiles and each range is ranked by itself,
-    so that no task sees all rows; without it, the caller vouches that df is small.
+
+def ranked(df: DataFrame, by: list[Column], name: str = "pos") -> DataFrame:
+    """df, which the caller vouches to be small, with its dense rank from 0 in the order `by`."""
+    return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
+
+
+def ranked_in_ranges(df: DataFrame, lead: Column, down: bool, ties: tuple[str, ...], name: str = "pos") -> DataFrame:
+    """df with its dense rank from 0 by lead (nulls last) and then by the columns `ties` (ascending, nulls first).
+
+    Rows are cut into ranges of the whole order, ties included, and each range is ranked by itself, so that no task sees all
+    rows, whatever lead's type and however common one value is. The cuts are rows with the least hashes; where they lie
+    changes no rank. A lead that is an array, a map or a struct makes one range.
     """
-    if first is None:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("long"))
-    with_key = df.withColumn("_lead", first.cast("double"))
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    cuts = sorted(set(with_key.approxQuantile("_lead", [k / n for k in range(1, n)], 1 / (4 * n))))
-    part = F.when(F.col("_lead").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("_lead"))) if cuts else F.lit(0))
-    dealt = with_key.withColumn("_part", part)
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    placed = df.withColumn("_lead", lead).withColumn("_ties", F.struct(*(F.col(t) for t in ties)))
+    by = [F.col("_lead").desc_nulls_last() if down else F.col("_lead").asc_nulls_last(), F.col("_ties").asc()]
+    kind, fields = placed.schema["_lead"].dataType, placed.schema["_ties"].dataType.fields
+    rows = []
+    if n > 1 and not isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        some = placed.select("_lead", "_ties").orderBy(F.xxhash64("_lead", "_ties")).limit(n * PER_RANGE)
+        cut = ranked(some, by, "_k").where(F.col("_k") % PER_RANGE == PER_RANGE - 1)
+        rows = cut.select("_lead", "_ties").collect()  # at most a row a range
+    of = lambda v, t: F.lit(v).cast(t)
+    cuts = [F.struct(of(r["_lead"], kind).alias("lead"), F.struct(*(of(r["_ties"][f.name], f.dataType).alias(f.name) for f in fields)).alias("ties")) for r in rows]
+
+    def reached(x: Column) -> Column:
+        past = F.col("_lead") < x["lead"] if down else F.col("_lead") > x["lead"]
+        past = F.when(x["lead"].isNull(), F.lit(False)).when(F.col("_lead").isNull(), F.lit(True)).otherwise(past)
+        return past | (F.col("_lead").eqNullSafe(x["lead"]) & (F.col("_ties") >= x["ties"]))
+
+    dealt = placed.withColumn("_part", F.size(F.filter(F.array(*cuts), reached)) if cuts else F.lit(0))
     sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # as many rows as ranges
     starts, at = [], 0
     for p in sorted(sizes):
@@ -123,4 +146,4 @@ def ranked(df: DataFrame, by: list[Column], first: Column | None = None, name: s
         at += sizes[p]
     offset = F.create_map(*starts)[F.col("_part")] if starts else F.lit(0)
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
-    return dealt.withColumn(name, (own - 1 + offset).cast("long")).drop("_lead", "_part")
+    return dealt.withColumn(name, (own - 1 + offset).cast("long")).drop("_lead", "_ties", "_part")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bucket, clamp, day, day_label, hour_of, month_day_time, number, spread
 from ..sources import table
-from ..streaming.changes import diff, fold, splice
+from ..streaming.changes import diff, fold, mint, splice
 from ..streaming.runtime import debounced
 from .view import Cell, Link, View
 
@@ -135,6 +135,20 @@ def _topn_moves(s: SparkSession, d: str) -> DataFrame:
     return diff(pick(first), pick(later), ["event_id"], "pos").select("type", F.col("key.event_id").alias("event_id"), F.col("from").alias("from_pos"), F.col("to").alias("to_pos"))
 
 
+def _single_move(s: SparkSession, d: str) -> DataFrame:
+    """The first of fifty rows goes to the end: one move, though all ranks change."""
+    first = events(s, d).za("value", 50).df.select("event_id", "value", "pos")
+    later = first.withColumn("pos", F.pmod(F.col("pos") - 1, F.lit(50)))
+    return diff(first, later, ["event_id"], "pos", fewest=True).select("type", F.col("key.event_id").alias("event_id"), F.col("from").alias("from_pos"), F.col("to").alias("to_pos"))
+
+
+def _minted(s: SparkSession, d: str) -> DataFrame:
+    """Inserts without a key get one that is made from their seq."""
+    e = events(s, d).df.select("event_id", "value", "user_id")
+    log = e.where("event_id % 50 = 0").select(F.col("event_id").alias("seq"), F.lit("insert").alias("type"), F.lit(None).cast("long").alias("event_id"), F.struct("value", F.lit(-3).cast("long").alias("user_id")).alias("value"))
+    return fold(e, mint(log, "event_id", lambda seq: -1 - seq), "event_id")
+
+
 def _linked(s: SparkSession, d: str) -> DataFrame:
     link = Link(events(s, d).between("value", [0, 100]))
     counted = link.length(F.col("event_type"))
@@ -210,6 +224,10 @@ QUERIES = {
     "changelog_fold": lambda s, d: fold(events(s, d).df.select("event_id", "value", "user_id"), _log(s, d), "event_id"),
     "diff_between_bounds": _bounds_delta,
     "diff_topn_moves": _topn_moves,
+    "diff_single_move": _single_move,
+    "changelog_minted": _minted,
+    "az_text_all": lambda s, d: events(s, d).az("event_type").df.select("event_id", "event_type", "pos"),
+    "za_text_all": lambda s, d: events(s, d).za("event_type").df.select("event_id", "event_type", "pos"),
     "debounce_latest": lambda s, d: debounced(events(s, d).df, "user_id", "ts", "value", 3_600_000),
 }
 
@@ -278,6 +296,15 @@ ORACLE = {
     "xf_list": f"SELECT date AS \"group\", row_number() OVER (PARTITION BY date ORDER BY pos) - 1 AS idx, event_id, pos FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS pos FROM ({_F}) WHERE {_X()} QUALIFY pos < 40)",
     "changelog_fold": "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN value * 2 ELSE value END AS value, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT -event_id, value, user_id FROM events WHERE event_id % 100 = 1",
     "diff_between_bounds": "SELECT 'insert' AS type, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events WHERE value > 60 AND value <= 80 UNION ALL SELECT 'remove', count(*), sum(event_id)::BIGINT FROM events WHERE value >= 10 AND value < 20",
+    "diff_single_move": "SELECT 'move' AS type, event_id, 0::BIGINT AS from_pos, 49::BIGINT AS to_pos FROM events QUALIFY row_number() OVER (ORDER BY value DESC, event_id) = 1",
+    "changelog_minted": "SELECT event_id, value, user_id FROM events UNION ALL SELECT -1 - event_id, value, -3 FROM events WHERE event_id % 50 = 0",
+    "az_text_all": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type, event_id) - 1 AS pos FROM events",
+    "za_text_all": "SELECT event_id, event_type, row_number() OVER (ORDER BY event_type DESC, event_id) - 1 AS pos FROM events",
+    "debounce_latest": """WITH RECURSIVE e AS (SELECT user_id AS k, epoch_us(ts) // 1000 AS t, value FROM events),
+      armed AS (SELECT k, min(t) AS t FROM e GROUP BY k
+        UNION ALL SELECT e.k, min(e.t) FROM armed JOIN e ON e.k = armed.k AND e.t > armed.t + 3600000 GROUP BY e.k),
+      fires AS (SELECT armed.k AS key, armed.t + 3600000 AS fired, arg_max(e.value, e.t) AS value FROM armed JOIN e ON e.k = armed.k AND e.t BETWEEN armed.t AND armed.t + 3600000 GROUP BY armed.k, armed.t)
+      SELECT key, fired, value FROM fires WINDOW w AS (PARTITION BY key ORDER BY fired) QUALIFY row_number() OVER w = 1 OR value <> lag(value) OVER w""",
     "diff_topn_moves": """WITH a AS (SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS pos FROM events QUALIFY pos < 50),
       b AS (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN value * 0.99::DOUBLE ELSE value END AS v2, row_number() OVER (ORDER BY v2 DESC, event_id) - 1 AS pos FROM events QUALIFY pos < 50),
       s AS (SELECT event_id, a.pos AS f, b.pos AS t, value <> v2 AS changed, row_number() OVER (ORDER BY a.pos) <> row_number() OVER (ORDER BY b.pos) AS moved FROM a JOIN b USING (event_id))

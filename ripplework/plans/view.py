@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import predicates as P
-from .nodes import Common, Kept, Made, Node, Source, ranked
+from .nodes import Common, Kept, Made, Node, Source, ranked, ranked_in_ranges
 
 OPERATORS: dict[str, Callable[..., View]] = {}
 
@@ -148,19 +148,16 @@ class View:
     # ranks
 
     def _top(self, col: str, n: int | None, down: bool) -> View:
-        ties = [F.col(c).asc_nulls_first() for c in self.node.order or self.node.key]
+        ties = self.node.order or self.node.key
 
         def make(df: DataFrame) -> DataFrame:
             c = P.field(col)
             floating = isinstance(P.type_of(df, col), (T.DoubleType, T.FloatType))
             c = F.nanvl(c, F.lit(None)) if floating else c
-            by = [c.desc_nulls_last() if down else c.asc_nulls_last(), *ties]
-            out = df.drop("pos") if self.node.pos else df
-            if n is not None:
-                return ranked(out.orderBy(*by).limit(n), by)
-            kind = P.type_of(df, col)
-            lead = c.cast("double") if isinstance(kind, T.NumericType) else F.unix_micros(c.cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)) else None
-            return ranked(out, by, None if lead is None else (-lead if down else lead))
+            if n is None:
+                return ranked_in_ranges(df, c, down, ties)
+            by = [c.desc_nulls_last() if down else c.asc_nulls_last(), *(F.col(t).asc_nulls_first() for t in ties)]
+            return ranked(df.orderBy(*by).limit(n), by)
 
         return self._made(make, order=("pos",), pos=True)
 

@@ -9,15 +9,19 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..plans.view import View
-from .changes import diff, fold
+from .changes import _comparable, diff, fold
 
+#: Tasks that debounce, for each shuffle partition.
+BURST_PARTS = 4
 _COMMIT = "batch long, name string, path string"
 Sink = Callable[[int, DataFrame, DataFrame], None]
 
@@ -110,7 +114,7 @@ class Engine:
 
     def _tell(self, name: str, before: DataFrame, state: DataFrame, view: View, batch: int, first: bool = False) -> None:
         sinks = self.views[name][1]
-        delta = diff(before, state, list(view.node.key), "pos" if view.node.pos else None)
+        delta = diff(before, state, list(view.node.key), "pos" if view.node.pos else None, fewest=True)
         if sinks and (first or not delta.isEmpty()):
             for sink in sinks:
                 sink(batch, delta, state)
@@ -146,28 +150,45 @@ def debounced(events: DataFrame, key: str, at: str, value: str, ms: int = 1000)
     """What a trailing throttle lets through of recorded events: the first event arms it, later ones don't rearm it, and ms
     later the latest value comes out, unless it is the one that came out last. key, fired (ms), value.
 
-    One key's events are read in order, so a key's history has to fit a task.
+    Where nothing comes for longer than ms, whatever was armed has fired: a key's history falls apart there into bursts, and a
+    task holds a hashed share of all bursts, not a key's history. Events without a time are left out.
     """
     kind = dict(events.dtypes)
     millis = (F.unix_micros(F.col(at).cast("timestamp")) / 1000).cast("long") if "timestamp" in kind[at] else F.col(at).cast("long")
-    rows = events.select(F.col(key).alias("key"), millis.alias("at"), F.col(value).alias("value"))
-
-    def fire(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at", kind="stable")
-        out, until, latest, last = [], None, None, object()
-        for at_, v in zip(part["at"].tolist(), part["value"].tolist(), strict=True):
-            if until is not None and at_ > until:
-                if latest != last:
-                    out.append((until, latest))
-                    last = latest
-                until = None
-            until = at_ + ms if until is None else until
-            latest = v
-        if until is not None and latest != last:
-            out.append((until, latest))
-        return pd.DataFrame({"key": [part["key"].iloc[0]] * len(out), "fired": [a for a, _ in out], "value": [v for _, v in out]}).astype({"fired": "int64"})
-
-    return rows.groupBy("key").applyInPandas(fire, f"key {kind[key]}, fired long, value {kind[value]}")
+    rows = events.select(F.col(key).alias("key"), millis.alias("at"), F.col(value).alias("value")).where("at IS NOT NULL")
+    in_time = Window.partitionBy("key").orderBy("at")
+    fresh = rows.withColumn("_fresh", F.coalesce(F.col("at") - F.lag("at").over(in_time) > ms, F.lit(True)).cast("int"))
+    bursts = fresh.withColumn("_burst", F.sum("_fresh").over(in_time)).drop("_fresh").withColumn("_a", F.xxhash64("key")).withColumn("_b", F.hash("key"))
+    parts = BURST_PARTS * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    names = ["_a", "_b", "_burst"]
+
+    def fire(part: pa.Table) -> pa.Table:
+        ids = [part.column(c).to_numpy() for c in names]
+        times = part.column("at").to_numpy()
+        order = np.lexsort((times, *ids[::-1]))
+        first = np.ones(len(order), bool)
+        first[1:] = np.any([x[order][1:] != x[order][:-1] for x in ids], axis=0)
+        picks, fired, until = [], [], None
+        for k, (new, t) in enumerate(zip(first.tolist(), times[order].tolist(), strict=True)):
+            if new or t > until:
+                if until is not None:
+                    picks.append(k - 1)
+                    fired.append(until)
+                until = t + ms
+        picks.append(len(order) - 1)
+        fired.append(until)
+        some = part.select(["key", "value"]).take(pa.array(order[picks]))
+        return some.add_column(1, "fired", pa.array(fired, pa.int64()))
+
+    dealt = bursts.groupBy(F.pmod(F.xxhash64("key", "_burst"), F.lit(parts)).alias("_part"))
+    out = dealt.applyInArrow(fire, f"key {kind[key]}, fired long, value {kind[value]}")
+    by_key = Window.partitionBy("key").orderBy("fired")
+    seen = out.withColumn("_value", _comparable(out, "value"))
+    last = F.lag(F.struct("_value")).over(by_key)
+    same = F.col("_last._value").eqNullSafe(F.col("_value"))
+    if kind[value] in ("double", "float"):
+        same = same & ~F.coalesce(F.isnan("value"), F.lit(False))  # NaN is never the value that came out last
+    return seen.withColumn("_last", last).where(F.col("_last").isNull() | ~same).select("key", "fired", "value")
 
 
 def debounce_stream(stream: DataFrame, key: str, value: str, ms: int = 1000) -> DataFrame:

@@ -1,5 +1,6 @@
 """The change log, the delta feed and the runtime."""
 
+import itertools
 import random
 import time
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplework.plans.view import Cell
-from ripplework.streaming.changes import apply, diff, fold, splice
+from ripplework.streaming.changes import apply, diff, fold, mint, splice
 from ripplework.streaming.runtime import Engine, debounce_stream, debounced, to_call, to_list, to_table, to_view
 
 BASE = "key string, num double"
@@ -70,6 +71,25 @@ def test_one_move_for_one_row(spark):
     assert ("move", "1") in kinds(rows("4", "3", "2", "1"), rows("1", "4", "3", "2"))
 
 
+def test_fewest_moves(spark):
+    rng = random.Random(5)
+    rows = lambda ks: spark.createDataFrame([(k, i) for i, k in enumerate(ks)], "key string, pos int")
+    for before, after in [("4321", "1432"), ("4321", "3214"), ("abcd", "abcd"), *(("abcdefg", "".join(rng.sample("abcdefgxy", 7))) for _ in range(4))]:
+        moved = [r["key"]["key"] for r in diff(rows(before), rows(after), ["key"], "pos", fewest=True).where("type = 'move'").collect()]
+        old, new = [k for k in before if k in after], [k for k in after if k in before]
+        least = min(len(c) for n in range(len(old) + 1) for c in itertools.combinations(old, n) if [k for k in old if k not in c] == [k for k in new if k not in c])
+        assert len(moved) == least
+        assert [k for k in old if k not in moved] == [k for k in new if k not in moved]
+
+
+def test_minted_keys(spark):
+    writes = log(spark, ("insert", None, 4.0), ("insert", None, 5.0), ("insert", "7", 7.0), ("remove", None, ...))
+    got = [r["key"] for r in mint(writes).orderBy("seq").collect()]
+    assert got[2:] == ["7", None] and len(set(got)) == 4 and got == [r["key"] for r in mint(writes).orderBy("seq").collect()]
+    named = mint(writes.where("type = 'insert'"), make=lambda seq: F.concat(F.lit("k"), seq.cast("string")))
+    assert len([k for k in state(fold(spark.createDataFrame([], BASE), named)) if k[0] == "k"]) == 2
+
+
 def test_maps_compare(spark):
     df = lambda v: spark.createDataFrame([("1", {"a": v})], "key string, m map<string,int>")
     assert diff(df(1), df(1), ["key"]).count() == 0 and diff(df(1), df(2), ["key"]).first()["type"] == "update"
@@ -124,6 +144,23 @@ def test_debounce(spark):
     assert [(r["fired"], r["value"]) for r in got] == [(1000, 3), (3600, 4)]
 
 
+def test_debounce_agrees_with_a_throttle(spark):
+    rng = random.Random(11)
+    rows = [(k, t, rng.choice([None, 1.0, 2.0])) for k in (None, 2**60 + 1, 3) for t in rng.sample(range(20_000), 60)]
+    rows += [(9, t, 1.0) for t in range(0, 5000, 10)] + [(9, None, 7.0)]
+    want = []
+    for key in (None, 2**60 + 1, 3, 9):
+        until, latest, last = None, None, object()
+        for t, v in [*sorted((t, v) for k, t, v in rows if k == key and t is not None), (10**9, None)]:
+            if until is not None and t > until:
+                if latest != last:
+                    want.append((key, until, latest))
+                last, until = latest, None
+            until, latest = t + 700 if until is None else until, v
+    got = debounced(spark.createDataFrame(rows, "k long, at long, v double"), "k", "at", "v", 700).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_debounce_stream(spark, tmp_path):
     spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, v double").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = debounce_stream(spark.readStream.schema("k string, v double").parquet(f"{tmp_path}/in"), "k", "v", 500)

@@ -1,6 +1,7 @@
 """Views: operators on small collections, checked row by row."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +68,21 @@ def test_ranks_and_limits(spark):
     assert keys(rows.limit(0)) == []
 
 
+def test_ranks_of_the_whole(spark):
+    rng = random.Random(2)
+    rows = [{"i": i, "n": rng.choice(["a", "a", "a", "b", "", None, "\u00e9"]), "x": rng.choice([float("nan"), 1.0, 1.0, -0.0, 0.0, None])} for i in range(300)]
+    view = array(spark, rows, "i int, n string, x double")
+    for col in ("n", "x"):
+        none = [r["i"] for r in rows if r[col] is None or r[col] != r[col]]
+        some = [r["i"] for r in rows if r["i"] not in none]
+        for made, down in ((view.za(col), True), (view.az(col), False)):
+            got = made.df.orderBy("pos").collect()
+            assert [r["pos"] for r in got] == list(range(300))
+            assert [r["i"] for r in got] == sorted(some, key=lambda i: rows[i][col], reverse=down) + none
+    assert [r["pos"] for r in view.limit(5).za("n")] == [0, 1, 2, 3, 4]
+    assert [r["pos"] for r in view.limit(5).za("n", 3)] == [0, 1, 2]
+
+
 def test_folds_and_groups(spark, numbers):
     rows = objects(spark, {str(i + 1): {"num": x} for i, x in enumerate([1.1, 2.2, 1.9, 2.6, 1.7])}, "key string, num double")
     by = F.floor("num").cast("long")
