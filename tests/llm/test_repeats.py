@@ -51,6 +51,58 @@ def test_segments_of_long_texts(spark, monkeypatch):
     assert run(spark, rows, window=40, gram=10) == naive(rows, 40)
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_runs_left_to_the_last_pass(spark, monkeypatch, seed):
+    for name, value in (("ONE_DIGIT", 2), ("BLOCK_ROWS", 60), ("BLOCK_BYTES", 3000), ("BUCKET_BYTES", 4000), ("SEGMENT", 150)):
+        monkeypatch.setattr(repeats, name, value)
+    rows = corpus(seed, 40)
+    assert run(spark, rows, window=40, gram=20) == naive(rows, 40)
+
+
+def dealt(spark, monkeypatch, texts):
+    """Bytes of first digits in each bucket of each pass, for texts that come in one input split; and what is wrong in the result."""
+    passes, plain = [], repeats.map_chunks
+
+    def noted(df, schema, *args, **how):
+        out = plain(df, schema, *args, **how)
+        if schema.startswith("bucket"):
+            passes.append(out)
+        return out
+
+    monkeypatch.setattr(repeats, "map_chunks", noted)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = Counter(tuple(r) for r in remove_repeats(df).drop("starts", "ends", "kept").collect())
+    sizes = []
+    for made in passes:
+        sizes.append(Counter())
+        for r in made.select("bucket", "one").collect():
+            sizes[-1][r[0]] += len(r[1])
+    return sizes, got - naive(rows, 200)
+
+
+def noise(rng, n):
+    return "".join(rng.choices("abcdefgh ", k=n))
+
+
+def test_buckets_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 20_000, raising=False)
+    rng = random.Random(7)
+    sizes, wrong = dealt(spark, monkeypatch, [noise(rng, 2000) for _ in range(600)])
+    assert not wrong
+    assert sum(sizes[0].values()) > 100_000
+    assert max(sizes[0].values()) < 8_000  # 8 of a row's 40 bytes are counted: twice what 20,000 would make
+
+
+def test_a_passage_in_every_document_is_not_one_buckets_work(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "MIN_BUCKETS", 400)
+    rng = random.Random(8)
+    passage = noise(rng, 300)
+    sizes, wrong = dealt(spark, monkeypatch, [noise(rng, 150) + passage + noise(rng, 150) for _ in range(400)])
+    assert not wrong
+    assert max(sizes[0].values()) < 8 * 100
+
+
 def test_real_rows(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, rows) == naive(rows, 200)
